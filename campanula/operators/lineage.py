@@ -1,0 +1,16 @@
+"""Cutting the lineage of a result that several branches read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; the
+    copy survives lost executors.  Where none is named the frame is returned
+    as it is: the result is the same, at the price of computing it per branch.
+    """
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    return df.checkpoint(eager=True) if folder else df

@@ -1,0 +1,2 @@
+"""Reserved.  Every operator of this library works on bounded tables; there is
+no streaming source, watermark or state to provide."""
