@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from campanula.sources.star import AS_OF, LOGICAL, logical_sql, logical_table
 from campanula.sources.tables import TABLES, read_table
 
-__all__ = ["AS_OF", "QUERIES", "Tables", "query", "oracle"]
+__all__ = ["AS_OF", "AS_OF_SQL", "QUERIES", "Tables", "day_of", "bundle_sql", "fragment", "oracle", "products_sql", "query", "x_sql"]
+
+AS_OF_SQL = f"DATE '{AS_OF}'"
+
+
+def day_of(ms: str) -> str:
+    """SQL for the UTC day of an epoch-ms column."""
+    return f"CAST(epoch_ms({ms}) AS DATE)"
 
 
 class Tables:
@@ -75,3 +82,25 @@ def oracle(sql: str) -> str:
     tables = ", ".join(f"{n} AS ({_body(n)})" for n in order)
     rest = re.match(r"\s*WITH\s+(.*)", sql, re.IGNORECASE | re.DOTALL)
     return f"WITH {tables}, {rest.group(1)}" if rest else f"WITH {tables} {sql}"
+
+
+def x_sql(c: str) -> str:
+    return f"coalesce({c} = 'X', false)"
+
+
+def bundle_sql(cable: str, internet: str, phone: str) -> str:
+    """SQL for the one package code the three products agree on."""
+    parts = [f"substring({c}, 1, 5)" for c in (cable, internet, phone)]
+    named = ", ".join(f"nullif({p}, ' ')" for p in parts)
+    unknown = " OR ".join(f"{p} IS NULL" for p in parts)
+    absent = " AND ".join(f"{p} = ' '" for p in parts)
+    return (
+        f"CASE WHEN {unknown} THEN NULL WHEN {absent} THEN ' '"
+        f" WHEN greatest({named}) = least({named}) THEN greatest({named}) END"
+    )
+
+
+def products_sql(code: str) -> str:
+    """SQL for the number of products of a package code."""
+    mask = f"coalesce(substring({code}, 2, 1), '0')"
+    return f"(CASE WHEN {mask} IN ('1','2','4') THEN 1 WHEN {mask} IN ('3','5','6') THEN 2 WHEN {mask} = '7' THEN 3 ELSE 0 END)"

@@ -15,16 +15,9 @@ from campanula.operators.grouping import count_distinct
 from campanula.plans import attribution as at
 from campanula.plans.collections import DIALER_FIELDS
 from campanula.plans.offers import VIDEO_SERVICES
-from campanula.registry.base import AS_OF, fragment, query
+from campanula.registry.base import AS_OF, AS_OF_SQL, day_of, fragment, query
 from campanula.sources import tables as src
 
-AS_OF_SQL = f"DATE '{AS_OF}'"
-
-
-def day_of(ms: str) -> str:
-    return f"CAST(epoch_ms({ms}) AS DATE)"
-
-
 # ---- 2.1 sources and sinks -------------------------------------------------
 
 
@@ -156,14 +149,14 @@ def _(t):
 @query(
     "project_rename_extend",
     "SELECT o_orderkey AS order_id, o_custkey AS account, o_totalprice AS amount,"
-    " CAST(round(o_totalprice * 0.1, 2) AS DOUBLE) AS tax, upper(o_orderpriority) AS priority FROM orders",
+    " o_totalprice * 0.1 AS tax, upper(o_orderpriority) AS priority FROM orders",
 )
 def _(t):
     return t.orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("account"),
         F.col("o_totalprice").alias("amount"),
-        F.round(F.col("o_totalprice") * 0.1, 2).alias("tax"),
+        (F.col("o_totalprice") * 0.1).alias("tax"),
         F.upper("o_orderpriority").alias("priority"),
     )
 

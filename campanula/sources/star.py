@@ -347,7 +347,7 @@ LOGICAL: dict[str, Logical] = {
         columns={
             "package_code": _pkg("p_partkey"),
             "dt": f"CAST('{AS_OF}' AS DATE) - (n + CAST(p_partkey % 3 AS INT))",
-            "charge": "round(p_retailprice / 100, 2)",
+            "charge": "p_retailprice",
         },
     ),
     "customer_profile": Logical(
@@ -505,6 +505,7 @@ def logical_sql(name: str) -> str:
         source += f" JOIN {other} ON {left_key} = {right_key}"
     if spec.copies:
         source += f", (SELECT unnest(generate_series(0, {spec.copies - 1}))::INT AS n) AS copies"
-    cols = ", ".join(f"{e} AS {c}" for c, e in spec.columns.items())
+    exact = lambda e: e.replace("epoch_ms(ts)", "(epoch_us(ts) // 1000)")
+    cols = ", ".join(f"{exact(e)} AS {c}" for c, e in spec.columns.items())
     where = f" WHERE {spec.where}" if spec.where else ""
     return f"SELECT {cols} FROM {source}{where}"
