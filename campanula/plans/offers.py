@@ -116,6 +116,24 @@ def offer_attribute_count(base: DataFrame, offers: DataFrame, check: str, key: s
     return kept.agg(F.count(key).alias("accounts"))
 
 
+def offer_attribute_counts(base: DataFrame, offers: DataFrame, key: str = "account_no") -> DataFrame:
+    """Every attribute check at once: one pass over the offers and one join.
+
+    Returns one row per check with the number of accounts that pass.
+    """
+    attributes = attribute_columns()
+    aggregates = [
+        F.max(F.col(value) if condition is None else F.when(condition, F.col(value))).alias(name)
+        for name, (condition, value) in attributes.items()
+    ]
+    aggregates += [F.bool_or(rule()).alias(f"row_{name}") for name, rule in ROW_CHECKS.items()]
+    wide = base.select(key).distinct().join(offers.groupBy(key).agg(*aggregates), key, "left")
+    passed = {name: rule(F.col(attribute)) for name, (attribute, rule) in ATTRIBUTE_CHECKS.items()}
+    passed |= {name: F.col(f"row_{name}") for name in ROW_CHECKS}
+    counts = wide.agg(*[F.count_if(rule).alias(name) for name, rule in passed.items()])
+    return counts.unpivot([], list(passed), "attribute", "accounts")
+
+
 def offer_facts(offers: DataFrame, facts: Mapping[str, Column], key: str = "account_no") -> DataFrame:
     """One row per account: whether any single offer row meets each condition."""
     return offers.groupBy(key).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in facts.items()])

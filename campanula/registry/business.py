@@ -207,6 +207,20 @@ for _check, _condition in ROW_CHECKS.items():
     _count_query(_check, "offers", _condition)
 
 
+# all checks in one query: one pass over the offers, one join
+@query(
+    "offer_attribute_count",
+    " UNION ALL ".join(
+        f"SELECT '{check}' AS attribute, count(DISTINCT c.account_no) AS accounts FROM latest_csr c LEFT JOIN {table} o"
+        f" ON c.account_no = o.account_no WHERE {condition}"
+        for table, checks in (("offer_facts", FACT_CHECKS), ("offers", ROW_CHECKS))
+        for check, condition in checks.items()
+    ),
+)
+def _(t):
+    return of.offer_attribute_counts(sn.latest_snapshot(t.csr, "as_of"), t.offers)
+
+
 @query(
     "offer_attribute_count_converted_3_month",
     "SELECT count(DISTINCT c.account_no) AS accounts FROM latest_csr c JOIN orders_activity o ON c.account_no = o.account_no"
@@ -274,18 +288,18 @@ def _(t):
     return t.orders_activity.select("order_no", pr.has_dvr("stb_sc").alias("dvr"))
 
 
-def _panel(how: str, sql: str) -> None:
+def _panel(how: str, sql: str, name: str) -> None:
     @query(
-        f"package_price_panel_{how}",
+        name,
         f"SELECT package_code, CAST(round({sql}(price), 2) AS DOUBLE) AS price, min(description) AS description FROM package_prices GROUP BY 1",
     )
     def _(t):
         return pr.package_price_panel(t.package_prices, how)
 
 
-_panel("any", "min")
-_panel("min", "min")
-_panel("max", "max")
+_panel("any", "min", "package_price_panel")
+_panel("min", "min", "package_price_panel_min")
+_panel("max", "max", "package_price_panel_max")
 
 
 @query("asset_price", "SELECT * FROM asset_prices")
