@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+    """Write ``df`` once to the checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; the
-    copy survives lost executors.  Where none is named the frame is returned
-    as it is: the result is the same, at the price of computing it per branch.
+    The folder is the shared one the cluster names in ``spark.checkpoint.dir``,
+    so the copy survives lost executors.  A local session that names none gets
+    a temporary folder.  On a cluster without one the frame is returned as it
+    is: the result is the same, at the price of computing it per branch.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint(eager=True) if folder else df
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -38,7 +38,8 @@ def latest_ties(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame
     """All rows that carry their key's greatest ``order_col``.
 
     The maxima are combined before the shuffle and joined back, so rows of a
-    hot key are never gathered in one task.
+    hot key are never gathered in one task.  Made for coarse keys such as a
+    campaign, where the rows kept are a good part of the table.
     """
     keys = list(keys)
     newest = df.groupBy(*keys).agg(F.max(order_col).alias(order_col))
@@ -56,6 +57,17 @@ def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def latest_tied_rows(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """All rows that share their key's first place in the given order.
+
+    The single-pass form of :func:`latest_ties` for fine keys such as an
+    account, where ties are few; rows that cannot win are dropped before the
+    shuffle.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") == 1).drop("_rank")
+
+
 def latest_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]
 ) -> DataFrame:

@@ -21,7 +21,8 @@ from campanula.functions.dates import (
 from campanula.functions.rules import bucket, flag
 from campanula.functions.text import matches, speed_mbps
 from campanula.operators.joining import interval_join, nearest_in_window
-from campanula.operators.snapshot import latest_row, latest_ties, latest_values
+from campanula.operators.lineage import cut
+from campanula.operators.snapshot import latest_row, latest_tied_rows, latest_ties, latest_values
 from campanula.plans.pricing import bundle_up, has_dvr
 
 KEY = "account_no"
@@ -67,7 +68,7 @@ def attribute_orders(
         eligible.select(key, order_dt), touches.select(key, touch_dt), key, order_dt, touch_dt, -days, 0, "last_touch"
     )
     credited = eligible.join(matched, [key, order_dt])
-    return latest_ties(credited, [key], order_ts)
+    return latest_tied_rows(credited, [key], F.col(order_ts).desc())
 
 
 def attach_orders(
@@ -76,8 +77,9 @@ def attach_orders(
     *,
     key: str,
     target: str,
+    touch_day: str,
+    touch_ids: Sequence[str],
     touch_order: Sequence[Column],
-    order_ts: str = "order_ts",
     order_dt: str = "order_date",
 ) -> DataFrame:
     """Contacts with the orders they may have led to, ready for a best-pair choice.
@@ -85,17 +87,25 @@ def attach_orders(
     The choice ranks pairs by whether the order took the offered package, by
     its price, then by properties of the contact.  Only one contact per offered
     package and one order per package taken can win, so the rest go before
-    anything is paired: what remains per account is bounded by the catalogue.
-    ``touch_order`` may use the account's order time, present on every contact.
+    anything is paired.  Contacts first shrink to one per package and day,
+    which bounds an account by calendar and catalogue before it is shuffled as
+    a whole.  ``touch_order`` ends in ``touch_ids`` and may use the account's
+    order day, present on every contact.
     """
-    when = credited.groupBy(key).agg(F.max(order_ts).alias(order_ts), F.max(order_dt).alias(order_dt))
-    timed = touches.join(when, key, "left")
-    best_touch = latest_row(timed, [key, target], touch_order)
+    daily = latest_row(touches, [key, target, touch_day], [F.col(c).asc() for c in touch_ids])
     taken = credited.select(
-        key, "order_no", "ord_typ", bundle_up().alias("new_bundle"), has_dvr("stb_sc").alias("new_dvr")
+        key, order_dt, "order_no", "ord_typ", bundle_up().alias("new_bundle"), has_dvr("stb_sc").alias("new_dvr")
     )
     best_order = latest_row(taken, [key, "new_bundle", "new_dvr"], [F.col("order_no").asc()])
-    return best_touch.join(best_order, key, "left")
+    choices = best_order.groupBy(key).agg(
+        F.max(order_dt).alias(order_dt),
+        F.collect_list(F.struct("order_no", "ord_typ", "new_bundle", "new_dvr")).alias("_choices"),
+    )
+    timed = daily.join(choices, key, "left")
+    best_touch = latest_row(timed, [key, target], touch_order)
+    return best_touch.select(
+        *[c for c in best_touch.columns if c != "_choices"], F.explode_outer("_choices").alias("_choice")
+    ).select("*", "_choice.*").drop("_choice")
 
 
 def attribute_calls(
@@ -203,8 +213,13 @@ def tenure_bucket(years: ColumnOrName) -> Column:
 
 
 def enrich_city_tenure(df: DataFrame, snapshots: DataFrame, key: str = KEY) -> DataFrame:
-    """Add latest city, address and tenure class; only snapshots of the accounts
-    at hand are looked at."""
+    """Add latest city, address and tenure class.
+
+    Only snapshots of the accounts at hand are looked at, which keeps most of
+    the history out of the shuffle; the accounts are written once because they
+    are read twice.
+    """
+    df = cut(df)
     wanted = snapshots.join(df.select(key), key, "left_semi")
     latest = latest_values(wanted, [key], [F.col("as_of").desc()], ["city", "addr1", "tenure"])
     info = latest.select(key, "city", "addr1", tenure_bucket("tenure").alias("tenure_class"))

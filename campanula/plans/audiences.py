@@ -279,3 +279,9 @@ def multi_offer_call_activation(base: DataFrame, as_of: dt.date | str) -> DataFr
         & ~call_retargeting_rule(as_of)
     )
     return audience(base, rule)
+
+
+def audience_sizes(base: DataFrame, rules: Mapping[str, Callable[[], Column]]) -> DataFrame:
+    """Sizes of many audiences in one pass over the wide base."""
+    counts = base.agg(*[F.count_if(rule()).alias(name) for name, rule in rules.items()])
+    return counts.unpivot([], list(rules), "audience", "accounts")

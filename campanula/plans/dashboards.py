@@ -55,7 +55,15 @@ def email_performance(
         F.col("email_id").asc(),
         F.col("rec_id").asc(),
     ]
-    pairs = at.attach_orders(matched, credited, key=KEY, target="to_code", touch_order=touch_order)
+    pairs = at.attach_orders(
+        matched,
+        credited,
+        key=KEY,
+        target="to_code",
+        touch_day="date_sent",
+        touch_ids=["email_id", "rec_id"],
+        touch_order=touch_order,
+    )
     priced = old_new_price(
         pairs.withColumn("old_dvr", has_dvr("stb")),
         package_price_panel(prices, "max"),
@@ -135,7 +143,15 @@ def outbound_performance(
         F.col("rec_date").desc(),
         F.col("rec_id").asc(),
     ]
-    pairs = at.attach_orders(touches, credited, key=KEY, target="recommendedpkg", touch_order=touch_order)
+    pairs = at.attach_orders(
+        touches,
+        credited,
+        key=KEY,
+        target="recommendedpkg",
+        touch_day="rec_date",
+        touch_ids=["rec_id"],
+        touch_order=touch_order,
+    )
     priced = old_new_price(
         pairs.withColumn("old_dvr", has_dvr("stb")),
         package_price_panel(prices, "min"),
@@ -200,6 +216,9 @@ def inbound_month(
 ) -> DataFrame:
     """Inbound result of one period: one row per account that called back."""
     recs = at.inbound_recommendations(recommendations, start, end).withColumn("group_type", control_group_two(KEY))
+    # same-day recommendations of an account differ in nothing the choice
+    # below looks at, so one per day is enough
+    recs = latest_row(recs, [KEY, "rec_date"], [F.col("rec_id").asc()])
     answered = at.attribute_calls(recs, at.inbound_calls(interactions, start, end), days=days)
     latest = at.latest_order_in_period(orders, start, end).select(
         KEY, "order_no", "order_date", "ord_typ", "new_bundle", "new_dvr"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from campanula.operators.lineage import cut
 from campanula.plans import attribution as at
 from campanula.plans import dashboards as db
 from campanula.registry.base import bundle_sql, fragment, products_sql, query
@@ -306,7 +307,8 @@ fragment(
 
 @query("inbound_performance", "SELECT * FROM inbound_result")
 def _(t):
-    mail = email(t)
+    # the email result is read by both other channels
+    mail = cut(email(t).select(*EMAIL_COLUMNS))
     months = [inbound_half(t, *half) for half in HALVES]
     out = db.inbound_performance(months, mail, outbound(t, mail))
     return out.drop("mail_sent", "mail_month", "outbound_rec", "outbound_month")
