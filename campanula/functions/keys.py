@@ -26,7 +26,6 @@ def prefixed_account(c: ColumnOrName, prefix: str) -> Column:
 
 def first_valid_id(candidates: Sequence[ColumnOrName], length: int = 12) -> Column:
     """First candidate that is a positive number of exactly ``length`` characters."""
-    def valid(c: Column) -> Column:
-        return F.when((F.length(c) == length) & (c.try_cast("bigint") > 0), c)
-
-    return F.coalesce(*[valid(as_col(c)) for c in candidates])
+    fields = F.array(*[as_col(c) for c in candidates])
+    valid = F.filter(fields, lambda c: (F.length(c) == length) & (c.try_cast("bigint") > 0))
+    return F.get(valid, F.lit(0))

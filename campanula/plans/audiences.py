@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campanula.functions.dates import epoch_ms_to_date, shift_months, to_date_lit
+from campanula.functions.dates import cycle_bill_date, epoch_ms_to_date, shift_months, to_date_lit
 from campanula.functions.rules import true_if
 from campanula.operators.joining import anti, intersect_ids, join_left, semi
+from campanula.operators.snapshot import latest_snapshot
 from campanula.plans import offers as off
-from campanula.plans.customers import account_flags, csr_attributes, customer_features, last_contacts
+from campanula.plans.customers import account_flags, accounts_per_phone, csr_attributes, last_contacts
 
 KEY = "account_no"
 # --- fixed values -----------------------------------------------------------
@@ -68,65 +69,87 @@ def migration_recency(orders: DataFrame, as_of: dt.date | str, months: int) -> D
 
 def recency_flags(last: DataFrame, as_of: dt.date | str, months: int) -> DataFrame:
     """Recent-contact flags from epoch-ms columns, all in one pass."""
+    return last.select(KEY, *[c.alias(n) for n, c in recency_columns(as_of, months).items()])
+
+
+def recency_columns(as_of: dt.date | str, months: int) -> dict[str, Column]:
     day = to_date_lit(as_of)
     months_ago = shift_months(as_of, -months, sticky=True)
     sent, contacted = epoch_ms_to_date("last_call_sent_ms"), epoch_ms_to_date("last_call_contact_ms")
     email = epoch_ms_to_date("last_email_sent_ms")
-    return last.select(
-        KEY,
-        true_if(sent >= F.date_sub(day, 42)).alias("call_sent_42d"),
-        true_if((contacted >= months_ago) & (sent >= months_ago)).alias("call_contacted_months"),
-        true_if(email >= F.date_sub(day, 21)).alias("email_sent_21d"),
-    )
+    return {
+        "call_sent_42d": true_if(sent >= F.date_sub(day, 42)),
+        "call_contacted_months": true_if((contacted >= months_ago) & (sent >= months_ago)),
+        "email_sent_21d": true_if(email >= F.date_sub(day, 21)),
+    }
+
+
+def offer_summary(offers: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """All an audience asks of the offers, one row per account, in one pass.
+
+    The distinct current packages of an account are few, so their set is small
+    however many offers an account has.
+    """
+    day = to_date_lit(as_of)
+    single, multiple = off.of_type("single"), off.of_type("multiple")
+    email, call, first = off.on_channel("email"), off.on_channel("call center"), F.col("offer_rank") == 1
+    today = F.col("next_best_action_date") == day
+    facts = {
+        "has_single_first": single & first,
+        "has_single_first_today": single & first & today,
+        "has_multiple_first": multiple & first,
+        "has_multiple_call": multiple & call,
+        "has_multiple_call_first": multiple & call & first,
+        "has_email": email,
+        "has_email_today": email & today,
+        "is_target": F.col("regime") == TARGET_REGIME,
+        "has_link_today": F.col("link").isNotNull()
+        & (epoch_ms_to_date("link_ms") == day)
+        & epoch_ms_to_date("link_exp_ms").between(F.date_add(day, 7), F.date_add(day, 15)),
+    }
+    extra = [F.max("regime").alias("top_regime"), F.collect_set("pkg_cde").alias("_offered")]
+    return off.offer_facts(offers, facts, KEY, extra)
+
 
+# parts of the wide base; a rule names those it reads
+FLAGS, PHONES, OFFERS, CONTACTS, MIGRATED = "flags", "phones", "offers", "contacts", "migrated"
+ALL_PARTS = (FLAGS, PHONES, OFFERS, CONTACTS, MIGRATED)
 
-def wide_base(t: Inputs, as_of: dt.date | str, *, shift_days: int | None = None, months: int = 1) -> DataFrame:
+
+def wide_base(
+    t: Inputs,
+    as_of: dt.date | str,
+    *,
+    parts: Sequence[str] = ALL_PARTS,
+    shift_days: int | None = None,
+    months: int = 1,
+) -> DataFrame:
     """One row per account of the newest snapshot with everything rules need.
 
     Offers, orders and contacts are each aggregated to one row per account
     first.  All joins are then one row to one row on the account number, so
-    Spark shuffles every input once and no account can be hot.
+    Spark shuffles every input once and no account can be hot.  Only the parts
+    named are read.
     """
-    facts = off.offer_facts(
-        t.offers,
-        {
-            "has_single_first": off.of_type("single") & (F.col("offer_rank") == 1),
-            "has_single_first_today": off.of_type("single")
-            & (F.col("offer_rank") == 1)
-            & (F.col("next_best_action_date") == to_date_lit(as_of)),
-            "has_multiple_first": off.of_type("multiple") & (F.col("offer_rank") == 1),
-            "has_multiple_call": off.of_type("multiple") & off.on_channel("call center"),
-            "has_multiple_call_first": off.of_type("multiple") & off.on_channel("call center") & (F.col("offer_rank") == 1),
-            "has_email": off.on_channel("email"),
-            "has_email_today": off.on_channel("email") & (F.col("next_best_action_date") == to_date_lit(as_of)),
-            "is_target": F.col("regime") == TARGET_REGIME,
-            "has_link_today": F.col("link").isNotNull()
-            & (epoch_ms_to_date("link_ms") == to_date_lit(as_of))
-            & epoch_ms_to_date("link_exp_ms").between(F.date_add(to_date_lit(as_of), 7), F.date_add(to_date_lit(as_of), 15)),
-        },
-    ).join(t.offers.groupBy(KEY).agg(F.max("regime").alias("top_regime")), KEY)
-    customers = csr_attributes(t.snapshots, shift_days=shift_days)
-    same_package = semi(
-        customers.select(KEY, "package_code"),
-        t.offers.select(KEY, F.col("pkg_cde").alias("package_code")).distinct(),
-        [KEY, "package_code"],
-    ).select(KEY, F.lit(True).alias("same_package"))
-    features = customer_features(t.snapshots, as_of).select(
-        KEY, "num_accounts", epoch_ms_to_date("last_bill_ms").alias("last_bill"), "changed_speed"
-    )
-    last = last_contacts(t.comms)
-    return join_left(
-        customers,
-        [
-            (account_flags(t.flags), KEY),
-            (features, KEY),
-            (facts, KEY),
-            (same_package, KEY),
-            (recency_flags(last, as_of, months), KEY),
-            (last, KEY),
-            (last_migration(t.orders), KEY),
-        ],
+    base = csr_attributes(t.snapshots, shift_days=shift_days).withColumn(
+        "last_bill", cycle_bill_date(as_of, "invoice_day")
     )
+    dims: list[DataFrame] = []
+    if FLAGS in parts:
+        dims.append(account_flags(t.flags))
+    if PHONES in parts:
+        dims.append(accounts_per_phone(latest_snapshot(t.snapshots, "as_of")).drop("home_phone"))
+    if OFFERS in parts:
+        dims.append(offer_summary(t.offers, as_of))
+    if CONTACTS in parts:
+        last = last_contacts(t.comms)
+        dims.append(last.withColumns(recency_columns(as_of, months)))
+    if MIGRATED in parts:
+        dims.append(last_migration(t.orders))
+    wide = join_left(base, [(dim, KEY) for dim in dims])
+    if OFFERS in parts:
+        wide = wide.withColumn("same_package", F.array_contains("_offered", F.col("package_code"))).drop("_offered")
+    return wide
 
 
 def cross_attributes_rule() -> Column:
@@ -187,44 +210,62 @@ def sidegrade_retargeting_rule(as_of: dt.date | str) -> Column:
     return F.col("last_migration") >= shift_months(as_of, -6)
 
 
-def named_rules(as_of: dt.date | str) -> Mapping[str, Callable[[], Column]]:
-    """Audience name -> rule over the wide base."""
+@dataclass(frozen=True)
+class Rule:
+    """A condition on the wide base and the parts of the base it reads."""
+
+    condition: Column
+    parts: tuple[str, ...] = ()
+
+
+def named_rules(as_of: dt.date | str) -> Mapping[str, Rule]:
+    """Audience name -> rule."""
     day = to_date_lit(as_of)
+    cross = (FLAGS, PHONES, OFFERS)
+
+    def contact(column: str, days: int) -> Rule:
+        return Rule(epoch_ms_to_date(column) >= F.date_sub(day, days), (CONTACTS,))
 
-    def since(column: str, days: int, ms: bool = True) -> Callable[[], Column]:
-        return lambda: (epoch_ms_to_date(column) if ms else F.col(column)) >= F.date_sub(day, days)
+    def converted(column: str, days: int) -> Rule:
+        return Rule(F.col(column) >= F.date_sub(day, days), (MIGRATED,))
 
     return {
-        "cross_attributes": cross_attributes_rule,
-        "cross_behaviour": cross_behaviour_rule,
-        "cross_behaviour_strict": lambda: cross_behaviour_rule(strict=True),
-        "cross_eligible": lambda: cross_eligible_rule(as_of),
-        "cross_retargeting": lambda: cross_retargeting_rule(as_of),
-        "single_offer_eligible": single_offer_rule,
-        "single_offer_email_eligible": lambda: email_eligible_rule(as_of, today_only=True),
-        "single_offer_recommended": lambda: F.col("has_single_first"),
-        "multi_offer_recommended": lambda: F.col("has_multiple_first") & F.col("valid_package"),
-        "multi_offer_outbound_eligible": outbound_call_rule,
-        "multi_offer_inbound": inbound_call_rule,
-        "target_customers": lambda: F.col("is_target"),
-        "control_customers": lambda: F.lower("top_regime").like("%control%"),
-        "email_retargeting": contacted_recently_rule,
-        "call_retargeting": lambda: call_retargeting_rule(as_of),
-        "sidegrade_retargeting": lambda: sidegrade_retargeting_rule(as_of),
-        "link_eligible": lambda: F.col("has_link_today"),
-        "email_contacted_15d": since("last_email_contact_ms", 15),
-        "email_contacted_30d": since("last_email_contact_ms", 30),
-        "call_contacted_15d": since("last_call_contact_ms", 15),
-        "call_contacted_30d": since("last_call_contact_ms", 30),
-        "email_sent_15d": since("last_email_sent_ms", 15),
-        "email_sent_30d": since("last_email_sent_ms", 30),
-        "sidegrade_converted_90d": since("last_sidegrade", 90, ms=False),
-        "sidegrade_converted_180d": since("last_sidegrade", 180, ms=False),
-        "upgrade_converted_90d": since("last_upgrade", 90, ms=False),
-        "upgrade_converted_180d": since("last_upgrade", 180, ms=False),
+        "cross_attributes": Rule(cross_attributes_rule(), (PHONES, OFFERS)),
+        "cross_behaviour": Rule(cross_behaviour_rule(), (FLAGS,)),
+        "cross_behaviour_strict": Rule(cross_behaviour_rule(strict=True), (FLAGS,)),
+        "cross_eligible": Rule(cross_eligible_rule(as_of), (*cross, MIGRATED)),
+        "cross_retargeting": Rule(cross_retargeting_rule(as_of), (MIGRATED,)),
+        "single_offer_eligible": Rule(single_offer_rule(), (FLAGS, OFFERS)),
+        "single_offer_email_eligible": Rule(email_eligible_rule(as_of, today_only=True), (OFFERS,)),
+        "single_offer_recommended": Rule(F.col("has_single_first"), (OFFERS,)),
+        "multi_offer_recommended": Rule(F.col("has_multiple_first") & F.col("valid_package"), (OFFERS,)),
+        "multi_offer_outbound_eligible": Rule(outbound_call_rule(), (FLAGS, OFFERS)),
+        "multi_offer_inbound": Rule(inbound_call_rule(), (OFFERS,)),
+        "target_customers": Rule(F.col("is_target"), (OFFERS,)),
+        "control_customers": Rule(F.lower("top_regime").like("%control%"), (OFFERS,)),
+        "email_retargeting": Rule(contacted_recently_rule(), (CONTACTS,)),
+        "call_retargeting": Rule(call_retargeting_rule(as_of), (CONTACTS, MIGRATED)),
+        "sidegrade_retargeting": Rule(sidegrade_retargeting_rule(as_of), (MIGRATED,)),
+        "link_eligible": Rule(F.col("has_link_today"), (OFFERS,)),
+        "email_contacted_15d": contact("last_email_contact_ms", 15),
+        "email_contacted_30d": contact("last_email_contact_ms", 30),
+        "call_contacted_15d": contact("last_call_contact_ms", 15),
+        "call_contacted_30d": contact("last_call_contact_ms", 30),
+        "email_sent_15d": contact("last_email_sent_ms", 15),
+        "email_sent_30d": contact("last_email_sent_ms", 30),
+        "sidegrade_converted_90d": converted("last_sidegrade", 90),
+        "sidegrade_converted_180d": converted("last_sidegrade", 180),
+        "upgrade_converted_90d": converted("last_upgrade", 90),
+        "upgrade_converted_180d": converted("last_upgrade", 180),
     }
 
 
+def named_audience(t: Inputs, as_of: dt.date | str, name: str, **options: int) -> DataFrame:
+    """A named audience over just the inputs its rule reads."""
+    rule = named_rules(as_of)[name]
+    return audience(wide_base(t, as_of, parts=rule.parts, **options), rule.condition)
+
+
 def converted_on(snapshot: DataFrame, orders: DataFrame, day: dt.date | str) -> DataFrame:
     """Accounts whose plan changed on ``day``."""
     changed = orders.where((F.col("order_date") == to_date_lit(day)) & F.lower("ord_typ").isin(*MIGRATIONS))
@@ -281,7 +322,7 @@ def multi_offer_call_activation(base: DataFrame, as_of: dt.date | str) -> DataFr
     return audience(base, rule)
 
 
-def audience_sizes(base: DataFrame, rules: Mapping[str, Callable[[], Column]]) -> DataFrame:
+def audience_sizes(base: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     """Sizes of many audiences in one pass over the wide base."""
-    counts = base.agg(*[F.count_if(rule()).alias(name) for name, rule in rules.items()])
+    counts = base.agg(*[F.count_if(rule.condition).alias(name) for name, rule in rules.items()])
     return counts.unpivot([], list(rules), "audience", "accounts")

@@ -179,10 +179,11 @@ def contact_history(attempts: DataFrame, as_of: dt.date | str) -> DataFrame:
         "child_outcome",
         parse_clock_text("call_text").alias("called_at"),
     ).where(F.col(KEY).isNotNull())
-    last = latest_row(named, [KEY], [F.col("called_at").desc_nulls_last(), F.col("attempt_id").asc()])
-    tries = named.groupBy(KEY).agg(F.count(KEY).alias("attempts"))
-    this_month = last.where(month_start(F.col("called_at").cast("date")) == F.trunc(to_date_lit(as_of), "MM"))
-    return this_month.join(tries, KEY).select(
+    # count and latest attempt in one aggregation, combined before the shuffle
+    last = F.max_by(F.struct("outcome", "child_outcome", "called_at"), F.struct("called_at", -F.col("attempt_id")))
+    summed = named.groupBy(KEY).agg(F.count(KEY).alias("attempts"), last.alias("_last")).select(KEY, "attempts", "_last.*")
+    this_month = summed.where(month_start(F.col("called_at").cast("date")) == F.trunc(to_date_lit(as_of), "MM"))
+    return this_month.select(
         KEY, F.lower(F.coalesce("outcome", "child_outcome")).alias("outcome"), "called_at", "attempts"
     )
 

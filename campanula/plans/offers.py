@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,9 +134,12 @@ def offer_attribute_counts(base: DataFrame, offers: DataFrame, key: str = "accou
     return counts.unpivot([], list(passed), "attribute", "accounts")
 
 
-def offer_facts(offers: DataFrame, facts: Mapping[str, Column], key: str = "account_no") -> DataFrame:
+def offer_facts(
+    offers: DataFrame, facts: Mapping[str, Column], key: str = "account_no", extra: Sequence[Column] = ()
+) -> DataFrame:
     """One row per account: whether any single offer row meets each condition."""
-    return offers.groupBy(key).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in facts.items()])
+    flags = [F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in facts.items()]
+    return offers.groupBy(key).agg(*flags, *extra)
 
 
 def catalogue_key(profile: DataFrame) -> DataFrame:

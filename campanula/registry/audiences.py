@@ -120,7 +120,7 @@ NAMED = {
 def _named(name: str, sql: str) -> None:
     @query(f"audience_{name}", sql)
     def _(t):
-        return au.audience(base(t), au.named_rules(AS_OF)[name]())
+        return au.named_audience(inputs(t), AS_OF, name)
 
 
 for _name, _sql in NAMED.items():
@@ -129,7 +129,7 @@ for _name, _sql in NAMED.items():
 
 @query("audience_call_retargeting", "SELECT account_no FROM call_retargeted")
 def _(t):
-    return au.audience(base(t, months=3), au.call_retargeting_rule(AS_OF))
+    return au.named_audience(inputs(t), AS_OF, "call_retargeting", months=3)
 
 
 @query(
@@ -138,7 +138,7 @@ def _(t):
     " WHERE r.account_no IS NULL AND CASE WHEN delinquency_days = 0 THEN 0 WHEN delinquency_days > 0 THEN delinquency_days + 2 END < 50",
 )
 def _(t):
-    return au.audience(base(t, shift_days=2), au.cross_eligible_rule(AS_OF))
+    return au.named_audience(inputs(t), AS_OF, "cross_eligible", shift_days=2)
 
 
 @query(
@@ -175,7 +175,8 @@ _call_outcome("call_not_attended_15d", 15, "No contesta")
     f" WHERE last_bill <= {AS_OF_SQL} - 10",
 )
 def _(t):
-    return au.email_link_generation_all(base(t), AS_OF)
+    parts = [au.FLAGS, au.PHONES, au.OFFERS, au.MIGRATED]
+    return au.email_link_generation_all(base(t, parts=parts), AS_OF)
 
 
 @query(
@@ -193,7 +194,7 @@ def _(t):
     "SELECT l.account_no FROM links_today l JOIN targets t ON l.account_no = t.account_no",
 )
 def _(t):
-    return au.single_offer_email_activation(base(t))
+    return au.single_offer_email_activation(base(t, parts=[au.OFFERS]))
 
 
 @query(
@@ -226,9 +227,9 @@ def _(t):
 )
 def _(t):
     """Set algebra on separately built id sets."""
-    wide = base(t).select("account_no", "is_target", "has_link_today", "call_sent_42d", "call_contacted_months", "email_sent_21d")
+    tables = inputs(t)
     return au.activate(
         latest_snapshot(t.csr, "as_of"),
-        [au.audience(wide, F.col("is_target")), au.audience(wide, F.col("has_link_today"))],
-        [au.audience(wide, au.contacted_recently_rule()), au.migration_recency(t.orders_activity, AS_OF, 6)],
+        [au.named_audience(tables, AS_OF, "target_customers"), au.named_audience(tables, AS_OF, "link_eligible")],
+        [au.named_audience(tables, AS_OF, "email_retargeting"), au.migration_recency(t.orders_activity, AS_OF, 6)],
     )

@@ -394,7 +394,7 @@ LOGICAL: dict[str, Logical] = {
             "due_m0": f"CASE WHEN c_custkey % 3 <> 0 THEN CAST('{AS_OF}' AS DATE) - CAST(c_custkey % 9 AS INT) + 3 END",
             "due_m1": f"CAST('{AS_OF}' AS DATE) - CAST(c_custkey % 40 AS INT)",
             "bill_m0": "round(c_acctbal / 3, 2)",
-            "bill_m1": "round(c_acctbal / 4, 2)",
+            "bill_m1": "round(c_acctbal / 5, 2)",
             "paid_m0": f"CASE WHEN c_custkey % 2 = 0 THEN CAST('{AS_OF}' AS DATE) - 10 END",
             "paid_m1": f"CASE WHEN c_custkey % 3 = 0 THEN CAST('{AS_OF}' AS DATE) - 40 END",
             "paid_m2": f"CASE WHEN c_custkey % 5 = 0 THEN CAST('{AS_OF}' AS DATE) - 70 END",
