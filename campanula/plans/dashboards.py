@@ -34,13 +34,12 @@ def _product_change(df: DataFrame, old_code: str) -> DataFrame:
     )
 
 
-def email_performance(
+def email_outcomes(
     feedback: DataFrame,
     recommendations: DataFrame,
     orders: DataFrame,
     prices: DataFrame,
     front_book: DataFrame,
-    snapshots: DataFrame,
     *,
     since: dt.date | str,
     days: int = 30,
@@ -92,7 +91,7 @@ def email_performance(
             ),
         }
     )
-    judged = _product_change(judged, "from_code").withColumns(
+    return _product_change(judged, "from_code").withColumns(
         {
             "contacted": flag((F.col("prior_to_sent") == 0) | F.col("prior_to_sent").isNull()),
             "converted": flag((F.col("migrated_one_month") == 1) & (F.col("positive_price_dif") == 1)),
@@ -100,7 +99,11 @@ def email_performance(
             "month_migration": at.month_of("migrated", "order_date"),
         }
     )
-    return at.enrich_city_tenure(judged, snapshots)
+
+
+def email_performance(*tables: DataFrame, snapshots: DataFrame, **options) -> DataFrame:
+    """The email dashboard: outcomes with city, address and tenure class."""
+    return at.enrich_city_tenure(email_outcomes(*tables, **options), snapshots)
 
 
 def neq_or_null_any(c: str, values: Sequence[str]) -> Column:
@@ -117,14 +120,13 @@ def email_credits(email: DataFrame) -> DataFrame:
     )
 
 
-def outbound_performance(
+def outbound_outcomes(
     recommendations: DataFrame,
     call_feedback: DataFrame,
     orders: DataFrame,
     prices: DataFrame,
     front_book: DataFrame,
-    snapshots: DataFrame,
-    email: DataFrame,
+    mail: DataFrame,
     *,
     since: dt.date | str,
     until: dt.date | str,
@@ -133,7 +135,10 @@ def outbound_performance(
     contact_pattern: str = at.CONTACT_PATTERN,
     accept_pattern: str = at.ACCEPT_PATTERN,
 ) -> DataFrame:
-    """One row per called account, with credit withheld where email won first."""
+    """One row per called account, with credit withheld where email won first.
+
+    ``mail`` holds the accounts the email channel won (:func:`email_credits`).
+    """
     recs = at.inbound_recommendations(recommendations, since, until)
     touches = recs.join(at.outbound_calls(call_feedback, since), KEY)
     credited = at.attribute_orders(touches, orders, touch_dt="rec_date", days=days)
@@ -174,8 +179,7 @@ def outbound_performance(
             "outbound_month": at.month_of("migrated_one_month", "order_date"),
         }
     )
-    enriched = at.enrich_city_tenure(judged, snapshots)
-    joined = enriched.join(email_credits(email), KEY, "left").withColumns(
+    joined = judged.join(mail, KEY, "left").withColumns(
         {
             "exclude_mail": flag(F.col("mail_month") >= F.col("outbound_month")),
             "previous_mail": flag(F.col("mail_month") < F.col("outbound_month")),
@@ -192,6 +196,11 @@ def outbound_performance(
     )
 
 
+def outbound_performance(*tables: DataFrame, snapshots: DataFrame, **options) -> DataFrame:
+    """The outbound dashboard: outcomes with city, address and tenure class."""
+    return at.enrich_city_tenure(outbound_outcomes(*tables, **options), snapshots)
+
+
 def outbound_credits(outbound: DataFrame, accept_pattern: str = at.ACCEPT_PATTERN) -> DataFrame:
     """Accounts the outbound channel won, with the month of the change."""
     return outbound.where(
@@ -208,7 +217,6 @@ def inbound_month(
     orders: DataFrame,
     prices: DataFrame,
     front_book: DataFrame,
-    snapshots: DataFrame,
     *,
     start: dt.date | str,
     end: dt.date | str,
@@ -244,8 +252,7 @@ def inbound_month(
     judged = at.migration_flags(
         priced, sent="rec_date", first_call="first_call", last_call="last_call", target="recommendedpkg", days=days
     )
-    judged = _product_change(price_delta(judged), "pkg_cde").withColumn("rec_month", month_start("rec_date"))
-    return at.enrich_city_tenure(judged, snapshots)
+    return _product_change(price_delta(judged), "pkg_cde").withColumn("rec_month", month_start("rec_date"))
 
 
 def cross_channel_exclusion(df: DataFrame, mail: DataFrame, outbound: DataFrame, month: str = "rec_month") -> DataFrame:
@@ -278,8 +285,11 @@ def conversion_outcome(df: DataFrame) -> DataFrame:
     )
 
 
-def inbound_performance(months: Sequence[DataFrame], email: DataFrame, outbound: DataFrame) -> DataFrame:
-    """All months, one row per account, credited against the other channels."""
+def inbound_performance(
+    months: Sequence[DataFrame], mail: DataFrame, outbound: DataFrame, snapshots: DataFrame
+) -> DataFrame:
+    """All months, one row per account, credited against the accounts the email
+    and outbound channels won."""
     stacked = union_months(*months)
     one = latest_row(
         stacked,
@@ -293,5 +303,6 @@ def inbound_performance(months: Sequence[DataFrame], email: DataFrame, outbound:
             F.col("rec_id").asc(),
         ],
     )
-    excluded = cross_channel_exclusion(one, email_credits(email), outbound_credits(outbound))
-    return conversion_outcome(excluded).withColumn("email_id", F.lit(" "))
+    excluded = cross_channel_exclusion(one, mail, outbound)
+    judged = conversion_outcome(excluded).withColumn("email_id", F.lit(" "))
+    return at.enrich_city_tenure(judged, snapshots)

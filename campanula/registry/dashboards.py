@@ -99,22 +99,20 @@ EMAIL_COLUMNS = (
 ).split()
 
 
-def email(t):
-    return db.email_performance(
-        t.email_feedback,
-        t.email_recommendations,
-        t.purchase_orders,
-        t.package_prices,
-        t.front_book,
-        t.csr,
-        since="2024-01-01",
-        excluded_bundles=SKIPPED,
-    )
+def email_tables(t):
+    return t.email_feedback, t.email_recommendations, t.purchase_orders, t.package_prices, t.front_book
+
+
+EMAIL_OPTIONS = {"since": "2024-01-01", "excluded_bundles": SKIPPED}
 
 
 @query("email_performance", "SELECT * FROM email_result")
 def _(t):
-    return email(t).select(*EMAIL_COLUMNS)
+    return db.email_performance(*email_tables(t), snapshots=t.csr, **EMAIL_OPTIONS).select(*EMAIL_COLUMNS)
+
+
+def mail_credits(t):
+    return db.email_credits(db.email_outcomes(*email_tables(t), **EMAIL_OPTIONS))
 
 
 # ---- outbound calls --------------------------------------------------------
@@ -192,24 +190,17 @@ OUTBOUND_COLUMNS = (
 ).split()
 
 
-def outbound(t, email_frame=None):
-    return db.outbound_performance(
-        t.recommendations,
-        t.call_feedback,
-        t.purchase_orders,
-        t.package_prices,
-        t.front_book,
-        t.csr,
-        email(t) if email_frame is None else email_frame,
-        since="2024-01-01",
-        until="2024-01-31",
-        excluded_bundles=SKIPPED,
-    )
+def outbound_tables(t, mail):
+    return t.recommendations, t.call_feedback, t.purchase_orders, t.package_prices, t.front_book, mail
+
+
+OUTBOUND_OPTIONS = {"since": "2024-01-01", "until": "2024-01-31", "excluded_bundles": SKIPPED}
 
 
 @query("outbound_performance", "SELECT * FROM outbound_result")
 def _(t):
-    return outbound(t).select(*OUTBOUND_COLUMNS)
+    out = db.outbound_performance(*outbound_tables(t, mail_credits(t)), snapshots=t.csr, **OUTBOUND_OPTIONS)
+    return out.select(*OUTBOUND_COLUMNS)
 
 
 # ---- inbound calls ---------------------------------------------------------
@@ -262,20 +253,13 @@ fragment("inbound_b", inbound_month_sql(*HALVES[1]))
 
 def inbound_half(t, start, end):
     return db.inbound_month(
-        t.recommendations,
-        t.interactions,
-        t.purchase_orders,
-        t.package_prices,
-        t.front_book,
-        t.csr,
-        start=start,
-        end=end,
-    ).select(*INBOUND_COLUMNS)
+        t.recommendations, t.interactions, t.purchase_orders, t.package_prices, t.front_book, start=start, end=end
+    ).select(*[c for c in INBOUND_COLUMNS if c not in ("city", "addr1", "tenure_class")])
 
 
 @query("inbound_month", "SELECT * FROM inbound_b")
 def _(t):
-    return inbound_half(t, *HALVES[1])
+    return at.enrich_city_tenure(inbound_half(t, *HALVES[1]), t.csr)
 
 
 fragment(
@@ -307,10 +291,11 @@ fragment(
 
 @query("inbound_performance", "SELECT * FROM inbound_result")
 def _(t):
-    # the email result is read by both other channels
-    mail = cut(email(t).select(*EMAIL_COLUMNS))
+    # what the email channel won is read by both other channels
+    mail = cut(mail_credits(t))
+    outbound = db.outbound_credits(db.outbound_outcomes(*outbound_tables(t, mail), **OUTBOUND_OPTIONS))
     months = [inbound_half(t, *half) for half in HALVES]
-    out = db.inbound_performance(months, mail, outbound(t, mail))
+    out = db.inbound_performance(months, mail, outbound, t.csr)
     return out.drop("mail_sent", "mail_month", "outbound_rec", "outbound_month")
 
 
