@@ -279,23 +279,19 @@ def call_outcome(feedback: DataFrame, as_of: dt.date | str, days: int, outcome:
 
 
 def email_link_generation_all(base: DataFrame, as_of: dt.date | str) -> DataFrame:
-    return activate(
-        base,
-        [
-            audience(base, cross_eligible_rule(as_of)),
-            audience(base, email_eligible_rule(as_of, back_days=10)),
-            audience(base, single_offer_rule(today_only=True)),
-        ],
-        [],
+    """Everyone eligible for a mailed link.
+
+    All rules read one wide row per account, so the set algebra is one filter:
+    no join remains after the base is built.
+    """
+    rule = (
+        cross_eligible_rule(as_of) & email_eligible_rule(as_of, back_days=10) & single_offer_rule(today_only=True)
     )
+    return audience(base, rule)
 
 
 def email_link_generation_target(base: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """Everyone eligible in the target group who was not approached lately.
-
-    All rules read one wide row per account, so the whole set algebra is one
-    filter: no join remains after the base is built.
-    """
+    """Everyone eligible in the target group who was not approached lately."""
     rule = (
         cross_eligible_rule(as_of)
         & email_eligible_rule(as_of)
