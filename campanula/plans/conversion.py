@@ -116,7 +116,7 @@ def order_package_prices(orders: DataFrame, prices: DataFrame) -> DataFrame:
             "phone_code": F.substring("phone_up", 1, CODE_LENGTH),
             "cable_code": F.substring("cable_up", 1, CODE_LENGTH),
             "internet_code": F.substring("internet_up", 1, CODE_LENGTH),
-            "order_delta": F.round(F.col("month_amount") - F.col("before_amount"), 2),
+            "order_delta": F.col("month_amount") - F.col("before_amount"),
         }
     )
     return any_key_lookup(

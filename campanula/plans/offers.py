@@ -200,5 +200,5 @@ def bau_offer(profile: DataFrame, front_book: DataFrame) -> DataFrame:
     best = latest_row(chosen, ["account_no"], [F.col("speed_to").desc(), F.col("package_to").asc()])
     return best.select(
         "account_no", "drop_kind", "package_from", "price_from", "speed_from", "package_to", "price_to", "speed_to",
-        F.round(F.col("price_to") - F.col("price_from"), 2).alias("delta_price"),
+        (F.col("price_to") - F.col("price_from")).alias("delta_price"),
     )

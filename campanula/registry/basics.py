@@ -500,12 +500,12 @@ def _(t):
 
 @query(
     "arith_price",
-    "SELECT account_no, total_charge + 5 AS with_dvr, CAST(round((total_charge * 12 - 15) / 12, 2) AS DOUBLE) AS net FROM customer_profile",
+    "SELECT account_no, total_charge + 5 AS with_dvr, (total_charge * 12 - 15) / 12 AS net FROM customer_profile",
 )
 def _(t):
     price = F.col("total_charge")
     return t.customer_profile.select(
-        "account_no", (price + 5).alias("with_dvr"), F.round((price * 12 - 15) / 12, 2).alias("net")
+        "account_no", (price + 5).alias("with_dvr"), ((price * 12 - 15) / 12).alias("net")
     )
 
 

@@ -249,7 +249,7 @@ def _(t):
     " play_type IN ('3P Video HSD Voice', '2P Video Voice', '2P Video HSD ', '1P Video ') AS vid,"
     " play_type IN ('3P Video HSD Voice', '2P HSD Voice', '2P Video Voice', '1P Voice') AS voice FROM customer_profile),"
     " ranked AS (SELECT p.account_no, p.kind AS drop_kind, p.package_code AS package_from, p.total_charge AS price_from, p.down_speed AS speed_from,"
-    " f.package_code AS package_to, f.price AS price_to, f.speed AS speed_to, CAST(round(f.price - p.total_charge, 2) AS DOUBLE) AS delta_price,"
+    " f.package_code AS package_to, f.price AS price_to, f.speed AS speed_to, f.price - p.total_charge AS delta_price,"
     " row_number() OVER (PARTITION BY p.account_no ORDER BY f.price, f.speed DESC, f.package_code) AS ranking FROM p JOIN front_book f"
     " ON kind = f.connection AND play_kind = f.play AND tv_kind = f.tv AND f.speed >= p.down_speed AND net = (f.modem IS NOT NULL)"
     " AND vid = (f.tv IS NOT NULL) AND voice = (f.phone IS NOT NULL)"

@@ -171,7 +171,7 @@ fragment(
 
 @query(
     "or_equi_join",
-    "WITH coded AS (SELECT account_no, order_no, CAST(round(month_amount - before_amount, 2) AS DOUBLE) AS order_delta,"
+    "WITH coded AS (SELECT account_no, order_no, month_amount - before_amount AS order_delta,"
     " substring(phone_up, 1, 5) AS phone_code, substring(cable_up, 1, 5) AS cable_code, substring(internet_up, 1, 5) AS internet_code"
     " FROM orders_activity) SELECT c.*, p.price AS package_price FROM coded c LEFT JOIN asset_prices p"
     " ON phone_code = p.package_code OR cable_code = p.package_code OR internet_code = p.package_code",

@@ -125,7 +125,7 @@ LOGICAL: dict[str, Logical] = {
             "regime": "CASE o_custkey % 5 WHEN 0 THEN 'control_x' WHEN 1 THEN 'control_j' ELSE 'offerfit' END",
             "reward": "l_tax * 10",
             "discount": "CAST(CASE WHEN l_discount >= 0.05 THEN 15 ELSE 0 END AS DOUBLE)",
-            "delta_arpu": "round(l_extendedprice / 1000 - 40, 2)",
+            "delta_arpu": "l_extendedprice / 1000 - 40",
             "stb": "CASE l_suppkey % 3 WHEN 0 THEN 'HD-DVR' WHEN 1 THEN ' ' END",
             "time_frame": "CASE l_suppkey % 3 WHEN 0 THEN 'Afternoon' WHEN 1 THEN 'Morning' END",
             "hsd_service": "CASE WHEN l_suppkey % 5 <> 0 THEN CAST(100 * (l_suppkey % 4) AS STRING) || ' Megas' END",
@@ -153,8 +153,8 @@ LOGICAL: dict[str, Logical] = {
             " WHEN '3-MEDIUM' THEN 'SIDEGRADE' WHEN '5-LOW' THEN 'NON PAY'"
             " ELSE (CASE WHEN o_orderkey % 2 = 0 THEN 'CONNECT' ELSE 'V_DISCO' END) END",
             "salesrep_area": "CASE o_orderstatus WHEN 'F' THEN 'C2MAX SALES' WHEN 'O' THEN 'CALLCENTER' ELSE 'WALK IN' END",
-            "month_amount": "round(o_totalprice / 1000, 2)",
-            "before_amount": "round(o_totalprice / 1100, 2)",
+            "month_amount": "o_totalprice / 1000",
+            "before_amount": "o_totalprice / 1100",
             **_bundles("o_orderkey"),
         },
     ),
@@ -360,7 +360,7 @@ LOGICAL: dict[str, Logical] = {
             "stb_sc": "CASE WHEN c_custkey % 3 = 0 THEN 'HD-DVR' ELSE 'STB' END",
             "video_service": "CASE c_nationkey % 6 WHEN 0 THEN 'BASIC' WHEN 1 THEN 'CHOICE PACK' WHEN 2 THEN 'ULTIMATE'"
             " WHEN 3 THEN 'UPICK' WHEN 4 THEN 'ESP PRIMERA' ELSE 'OTHER' END",
-            "total_charge": "round(900 + c_acctbal / 200, 2)",
+            "total_charge": "900 + c_acctbal / 200",
             "package_code": _pkg("c_custkey"),
             "down_speed": "CAST(c_custkey % 40 AS INT)",
         },
