@@ -40,19 +40,25 @@ def role_join(df: DataFrame, dim: DataFrame, dim_key: str, roles: Mapping[str, s
     return df
 
 
+def key_set(df: DataFrame, on: str | list[str]) -> DataFrame:
+    """Distinct keys.  Repeats go before the shuffle the join needs anyway."""
+    return df.select(*([on] if isinstance(on, str) else on)).distinct()
+
+
 def semi(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(keys, on, "left_semi")
+    """Keep the keys that ``keys`` holds."""
+    return df.join(key_set(keys, on), on, "left_semi")
 
 
 def anti(df: DataFrame, *suppress: DataFrame, on: str | list[str]) -> DataFrame:
     """Remove every key that any of the ``suppress`` frames holds."""
-    return reduce(lambda acc, s: acc.join(s, on, "left_anti"), suppress, df)
+    return reduce(lambda acc, s: acc.join(key_set(s, on), on, "left_anti"), suppress, df)
 
 
 def intersect_ids(*frames: DataFrame, on: str) -> DataFrame:
     """Distinct keys present in all frames."""
     first, *rest = frames
-    return reduce(lambda acc, f: acc.join(f, on, "left_semi"), rest, first.select(on).distinct())
+    return reduce(lambda acc, f: semi(acc, f, on), rest, key_set(first, on))
 
 
 def lookup(

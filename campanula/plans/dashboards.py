@@ -46,7 +46,12 @@ def email_outcomes(
     excluded_bundles: Sequence[str] = (at.EXCLUDED_BUNDLE,),
 ) -> DataFrame:
     """One row per emailed account: best matching order, price change, outcome."""
-    matched = at.email_offer_match(at.email_engagement(feedback, since), recommendations, since)
+    # of an account's emails of one day, and of its recommendations of one
+    # package and day, only the first can win below: the rest go before the
+    # two are matched
+    engaged = latest_row(at.email_engagement(feedback, since), ["account", "date_sent"], [F.col("email_id").asc()])
+    offered = latest_row(recommendations, [KEY, "to_code", "rec_date"], [F.col("rec_id").asc()])
+    matched = at.email_offer_match(engaged, offered, since)
     credited = at.attribute_orders(matched, orders, touch_dt="date_sent", days=days)
     touch_order = [
         flag(F.col("order_date") >= F.col("date_sent")).desc(),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from campanula.functions.rules import flag, value_map
 from campanula.operators.grouping import conditional_max
-from campanula.operators.snapshot import latest_row
 from campanula.plans.pricing import DVR_CHARGE, has_dvr
 
 # --- fixed values: video service of the profile -> name in the catalogue -----
@@ -160,13 +159,15 @@ def catalogue_key(profile: DataFrame) -> DataFrame:
 def bau_offer(profile: DataFrame, front_book: DataFrame) -> DataFrame:
     """Cheapest catalogue package that keeps the line-up, is at least as fast
     and costs more than today (a recorder adds its charge to the new price).
+    Of packages with that price, the fastest.
 
-    The catalogue first shrinks to one package per line-up, speed and price.
-    The lowest price per account is a plain numeric minimum, combined inside
-    each task while the candidates stream by, so only one row per account is
-    shuffled; the package code is then fetched by that price.
+    Only the fastest package of a line-up and price can ever be chosen, so the
+    catalogue shrinks to one price list per line-up, no longer than there are
+    different prices.  A customer meets one list and picks its first entry
+    that fits; customers and packages are never paired.
     """
     line_up = ["connection", "play", "tv", "has_internet", "has_video", "has_voice"]
+    fastest = F.struct(-F.col("speed"), "package_code")
     catalogue = (
         front_book.withColumns(
             {
@@ -175,9 +176,11 @@ def bau_offer(profile: DataFrame, front_book: DataFrame) -> DataFrame:
                 "has_internet": flag(F.col("modem").isNotNull()),
             }
         )
-        .groupBy(*line_up, F.col("speed").alias("speed_to"), F.col("price").alias("price_to"))
-        .agg(F.min("package_code").alias("package_to"))
+        .groupBy(*line_up, F.col("price").alias("price_to"))
+        .agg(F.min_by(F.struct("package_code", "speed"), fastest).alias("_package"))
     )
+    entry = F.struct("price_to", F.col("_package.speed").alias("speed_to"), F.col("_package.package_code").alias("package_to"))
+    lists = catalogue.groupBy(*line_up).agg(F.array_sort(F.collect_list(entry)).alias("_prices"))
     customers = catalogue_key(profile).select(
         "account_no",
         F.col("connection").alias("drop_kind"),
@@ -187,18 +190,12 @@ def bau_offer(profile: DataFrame, front_book: DataFrame) -> DataFrame:
         F.col("down_speed").alias("speed_from"),
         F.when(F.col("dvr") == 1, DVR_CHARGE).otherwise(0).alias("_extra"),
     )
-    candidates = customers.join(catalogue, line_up).where(
-        (F.col("speed_to") >= F.col("speed_from")) & (F.col("price_to") + F.col("_extra") > F.col("price_from"))
+    fits = F.filter(
+        "_prices",
+        lambda p: (p["price_to"] + F.col("_extra") > F.col("price_from")) & (p["speed_to"] >= F.col("speed_from")),
     )
-    cheapest = candidates.groupBy("account_no").agg(F.min("price_to").alias("price_to"))
-    chosen = (
-        customers.join(cheapest, "account_no")
-        .join(catalogue, [*line_up, "price_to"])
-        .where(F.col("speed_to") >= F.col("speed_from"))
-    )
-    # several packages may cost the same: fastest first, then by code
-    best = latest_row(chosen, ["account_no"], [F.col("speed_to").desc(), F.col("package_to").asc()])
-    return best.select(
-        "account_no", "drop_kind", "package_from", "price_from", "speed_from", "package_to", "price_to", "speed_to",
-        (F.col("price_to") - F.col("price_from")).alias("delta_price"),
+    chosen = customers.join(lists, line_up).withColumn("_best", F.get(fits, F.lit(0))).where(F.col("_best").isNotNull())
+    return chosen.select(
+        "account_no", "drop_kind", "package_from", "price_from", "speed_from", "_best.*",
+        (F.col("_best.price_to") - F.col("price_from")).alias("delta_price"),
     )

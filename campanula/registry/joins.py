@@ -182,28 +182,17 @@ def _(t):
 
 @query(
     "theta_case_join",
-    "SELECT p.account_no, count(*) AS packages, min(f.price) AS lowest FROM customer_profile p JOIN front_book f"
-    " ON p.down_speed <= f.speed AND CASE WHEN p.drop_type = 'COAX' THEN 'Coax Trad' ELSE 'FTTH' END = f.connection"
-    " AND substring(p.play_type, 1, 2) = f.play"
-    " AND CASE WHEN lower(p.stb_sc) LIKE '%dvr%' THEN f.price + 5 > p.total_charge ELSE f.price > p.total_charge END GROUP BY 1",
-)
-def _(t):
-    profile = t.customer_profile.select(
-        "account_no",
-        "total_charge",
-        "down_speed",
-        pr.has_dvr("stb_sc").alias("dvr"),
-        F.when(F.col("drop_type") == "COAX", "Coax Trad").otherwise("FTTH").alias("kind"),
-        F.substring("play_type", 1, 2).alias("play_kind"),
-    )
-    same = (F.col("kind") == F.col("connection")) & (F.col("play_kind") == F.col("play"))
-    dearer = (
-        F.when(F.col("dvr") == 1, F.col("price") + 5 > F.col("total_charge")).otherwise(F.col("price") > F.col("total_charge"))
-        & (F.col("speed") >= F.col("down_speed"))
-    )
-    book = t.front_book.groupBy("connection", "play", "speed", "price").agg(F.count(F.lit(1)).alias("n"))
-    pairs = jn.theta_join(profile, book, same, dearer)
-    return pairs.groupBy("account_no").agg(F.sum("n").alias("packages"), F.min("price").alias("lowest"))
+    "SELECT o.account_no, o.offer_id, o.offer_rank, o.recommendedpkg, o.delta_arpu, p.price FROM offers o LEFT JOIN prices p ON o.recommendedpkg = p.package_code"
+    " AND o.discount <= p.price AND CASE WHEN lower(o.stb) LIKE '%dvr%' THEN p.price + 5 > o.delta_arpu + 70 ELSE p.price > o.delta_arpu + 70 END",
+)
+def _(t):
+    prices = pr.package_price_panel(t.package_prices).select("package_code", "price")
+    offers = t.offers.withColumn("dvr", pr.has_dvr("stb"))
+    wanted = F.col("delta_arpu") + 70
+    dearer = F.when(F.col("dvr") == 1, F.col("price") + 5 > wanted).otherwise(F.col("price") > wanted)
+    same = F.col("recommendedpkg") == F.col("package_code")
+    joined = jn.theta_join(offers, prices, same, (F.col("discount") <= F.col("price")) & dearer, "left")
+    return joined.select("account_no", "offer_id", "offer_rank", "recommendedpkg", "delta_arpu", "price")
 
 
 @query(
