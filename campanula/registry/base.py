@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from campanula.sources.star import AS_OF, LOGICAL, logical_sql, logical_table
 from campanula.sources.tables import TABLES, read_table
@@ -26,12 +27,18 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._schemas: dict[str, StructType] = {}
+
+    def read(self, name: str) -> DataFrame:
+        df = read_table(self.spark, self.root, name, self._schemas.get(name))
+        self._schemas.setdefault(name, df.schema)
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in LOGICAL:
-            return logical_table(self.spark, self.root, name)
+            return logical_table(self.read, name)
         if name in TABLES:
-            return read_table(self.spark, self.root, name)
+            return self.read(name)
         raise AttributeError(name)
 
 

@@ -9,13 +9,12 @@ computed from the rows that are there: the derived tables grow with them.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campanula.sources.tables import read_table
-
 AS_OF = "2024-01-31"
 AS_OF_DAY = 19753  # AS_OF in days since 1970-01-01
 ORDER_SHIFT = 8217  # moves the last order date to the day before AS_OF
@@ -480,13 +479,13 @@ LOGICAL: dict[str, Logical] = {
 }
 
 
-def logical_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+def logical_table(read: Callable[[str], DataFrame], name: str) -> DataFrame:
     """Build one logical table from its physical source(s)."""
     spec = LOGICAL[name]
-    df = read_table(spark, root, spec.source)
+    df = read(spec.source)
     if spec.join:
         other, left_key, right_key = spec.join
-        right = read_table(spark, root, other)
+        right = read(other)
         df = df.join(right, df[left_key] == right[right_key])
     if spec.copies:
         df = df.withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(spec.copies)])))

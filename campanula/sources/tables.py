@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from campanula.functions.dates import epoch_ms_to_date, to_date_lit
 
@@ -16,9 +17,13 @@ TABLES = (
 )
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One table of a parquet root; ``name.parquet`` may be a file or a folder."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, root: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """One table of a parquet root; ``name.parquet`` may be a file or a folder.
+
+    A known schema saves the look into the files.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
 def scan(
