@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from campanula.functions import dates as d
 from campanula.operators import snapshot as sn
 from campanula.plans import attribution as at
 from campanula.plans import audiences as au
