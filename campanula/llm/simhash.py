@@ -195,18 +195,21 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Rows (fp, least_id, component_id), one per distinct ``fp`` of ``prints``, written out.
+    """Rows (fp, least_id, root, component_id), one per distinct ``fp`` of ``prints``, written out.
 
-    ``least_id`` is the smallest id with that fingerprint, ``component_id`` the smallest
-    in all of its component; null ids count only where there is no other.
+    ``least_id`` is the smallest id with that fingerprint, ``root`` names its component,
+    and ``component_id`` is the smallest id there; null ids count only where there is no other.
     """
     nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     roots = cut(components(links(nodes, radius)))
     member = nodes.join(roots, nodes["fp"] == roots["node"])
     least = cut(member.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    of_node = cut(roots.join(least, "root").select(F.col("node").alias("fp"), "component_id"))
+    of_node = cut(roots.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id"))
     out = nodes.join(of_node, "fp", "left")
-    return cut(out.select("fp", "least_id", F.coalesce("component_id", "least_id").alias("component_id")))
+    return cut(out.select(
+        "fp", "least_id", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -229,8 +232,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     marked = fingerprints(marked, "_text", fp, shingle).drop("_text")
     prints = cut(marked.select(F.col("_id"), F.col(fp).alias("fp")))
     found = classes(prints, "_id", radius)
-    chosen = found.filter(F.col("least_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp"))
-    chosen = cut(chosen)
+    chosen = found.filter(F.col("least_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "component_id")).alias("c"))
+    chosen = cut(chosen.select("c.*"))
     kept = marked.join(chosen, (marked[fp] == chosen["fp"]) & marked["_id"].eqNullSafe(chosen["component_id"]))
     first = F.row_number().over(Window.partitionBy(fp, "_id").orderBy(*(F.col("_doc")[c] for c in docs.columns)))
     return kept.select("_doc", fp, "_id").withColumn("_first", first).filter("_first = 1").select("_doc.*")
