@@ -20,11 +20,12 @@ MARKS = ("<|im_start|>", "<|im_end|>")
 
 
 def _turns(turns: DataFrame) -> DataFrame:
-    """Turns with their position from 1; a row without conv_id is a conversation of its own."""
+    """Turns with their position from 1; a row without conv_id is a conversation of its own, equal ones are one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
     own = F.when(F.col("conv_id").isNull(), F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.sha2(F.concat_ws("\x1f", role, text), 256)))
     rows = turns.select("conv_id", own.alias("own"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = rows.filter("conv_id is not null").union(rows.filter("conv_id is null").distinct())
     rows = rows.withColumn("span", F.floor(F.col("turn") / SPAN))
     inside = Window.partitionBy("conv_id", "own", "span").orderBy("turn", "role", "text")
     totals = rows.groupBy("conv_id", "own", "span").agg(F.count("*").alias("n"))
@@ -71,7 +72,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Turns stand in order of turn (null last), role, text; repeated rows are turns of
     their own. Null roles and texts count as empty. A conversation of over ``SPAN``
     turns is rendered in parts, whose texts in order make the whole. Marks inside a
-    text are broken by a blank after their first character, so none opens a turn.
+    text are broken by a blank after their first character, so none opens a turn. Rows
+    without conv_id are conversations of one turn; equal ones count once.
     """
     numbered, kept = maximal(turns)
     kept = cut(kept.withColumnsRenamed({"conv_id": "_conv_id", "own": "_own"}))

@@ -201,6 +201,10 @@ def test_links_with_dense_families(spark, radius):
 
 
 def test_substring(docs, rows):
+    _compare_substring(docs, rows, 200)
+
+
+def _compare_substring(docs, rows, least):
     first = {}
     for r in rows:
         ws = split(r.text) if r.doc_id is not None else []
@@ -215,7 +219,7 @@ def test_substring(docs, rows):
 
     found = substring.op4(docs).collect()
     assert bag(found, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter((r.doc_id, *want(r)) for r in rows)
-    assert sum(r.n_removed for r in found) > 200
+    assert sum(r.n_removed for r in found) > least
 
 
 def test_substring_many_contexts(spark):
@@ -226,7 +230,7 @@ def test_substring_many_contexts(spark):
         near = [f"n{rnd.randint(0, 2)}" for _ in range(rnd.randint(0, 60))]
         texts.append((i, " ".join([*near, *PASSAGE.split()[a:b], *near[::-1]] * rnd.randint(1, 2)), "en", "s", 0, None, None))
     docs = spark.createDataFrame(texts, DOCS).repartition(4)
-    test_substring.__wrapped__(docs, docs.collect()) if hasattr(test_substring, "__wrapped__") else test_substring(docs, docs.collect())
+    _compare_substring(docs, docs.collect(), 200)
 
 
 def _check_pieces(rows, found, encode):
@@ -332,7 +336,7 @@ def test_personal_data(docs, rows):
 
 def test_disclosing_terms(spark):
     hint = [(i, f"the Zorblax {'and' if i % 2 else 'or'} bob@ex.com of it", None, None, 0, None, None) for i in range(6)]
-    other = [(100 + i, f"the word and of it number {i}", None, None, 0, None, None) for i in range(60)]
+    other = [(100 + i, f"the word and of it or number {i}", None, None, 0, None, None) for i in range(60)]
     docs = spark.createDataFrame(hint + other, DOCS)
     found = {r.doc_id: r for r in sanitize.op9(docs).collect()}
     assert found[0].spans == "email:15:25,general:4:11" and found[100].spans == ""
@@ -395,7 +399,7 @@ def test_chat(spark):
     long = [(99, t, "user", f"t{t}") for t in range(3000)] + [(98, t, "user", f"t{t}") for t in range(2500)]
     df = spark.createDataFrame(data + long, "conv_id long, turn long, role string, text string").repartition(3)
     found = chat.op1(df).collect()
-    assert Counter((r.conv_id, r.n_turns, r.n_copies) for r in found if r.part == 0) == Counter([(8, 1, 1), (9, 3, 1), (None, 1, 2), (10, 1, 1), (11, 2, 1), (99, 3000, 1)])
+    assert Counter((r.conv_id, r.n_turns, r.n_copies) for r in found if r.part == 0) == Counter([(8, 1, 1), (9, 3, 1), (None, 1, 1), (10, 1, 1), (11, 2, 1), (99, 3000, 1)])
     whole = "".join(r.rendered for r in sorted((r for r in found if r.conv_id == 99), key=lambda r: r.part))
     assert whole == "".join(f"<|im_start|>user\nt{t}<|im_end|>\n" for t in range(3000))
     nine = next(r for r in found if r.conv_id == 9).rendered
