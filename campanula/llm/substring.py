@@ -108,7 +108,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, seeds) to (anchor, class, place, window hash, id): all extensions of each seed."""
+    """Rows (id, text, seeds) to (anchor, class, place, window hash, id, most): all extensions of each seed."""
     for batch in batches:
         for i in range(batch.num_rows):
             seeds = batch.column(2)[i].as_py()
@@ -125,8 +125,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(place.astype(np.int32)),
                     _long(hashed.runs(start, WINDOW)),
                     pa.repeat(batch.column(0)[i], total),
+                    pa.array([s["most"] for s in seeds], batch.column(0).type).take(pa.array(rows)),
                 ],
-                names=["anchor", "kind", "place", "window", "id"],
+                names=["anchor", "kind", "place", "window", "id", "most"],
             )
 
 
@@ -175,12 +176,14 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sure = hits.filter("one_class and id > least").select("id", "digest", "first", "number")
 
     opened = hits.filter("not one_class").select("anchor", "kind", "id", "digest", "first", "number")
-    rep = opened.groupBy("anchor", "kind").agg(F.min(F.struct("id", "digest", "first", "number")).alias("r"))
-    rep = cut(rep.select("anchor", "kind", "r.*"))
-    by_doc = rep.groupBy("id", "digest").agg(F.collect_set(F.struct("anchor", "kind", "first", "number")).alias("seeds"))
+    rep = opened.groupBy("anchor", "kind").agg(F.min(F.struct("id", "digest", "first", "number")).alias("r"), F.max("id").alias("most"))
+    rep = cut(rep.select("anchor", "kind", "r.*", "most"))
+    by_doc = rep.groupBy("id", "digest").agg(F.collect_set(F.struct("anchor", "kind", "first", "number", "most")).alias("seeds"))
     windows = texts.join(by_doc, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "text", "seeds")
-    windows = cut(windows.mapInArrow(_window_rows, f"anchor long, kind long, place int, window long, id {kind}"))
-    least = cut(windows.groupBy("anchor", "window").agg(F.min("id").alias("least")))
+    windows = cut(windows.mapInArrow(_window_rows, f"anchor long, kind long, place int, window long, id {kind}, most {kind}"))
+    # a window matters only where some document that has it comes after the smallest one
+    least = windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("most").alias("most"))
+    least = cut(least.filter("least < most").drop("most"))
     known = windows.join(least, ["anchor", "window"]).groupBy("anchor", "kind").agg(
         F.collect_set(F.struct("place", "least")).alias("places")
     )
