@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campanula.llm.common import cut, text_or_empty
+from campanula.llm.common import stored, text_or_empty
 
 WINDOW = 50
 GRAM = 10
@@ -171,23 +171,23 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = texts.schema["id"].dataType.simpleString()
     found = texts.mapInArrow(_anchor_rows, f"anchor long, kind long, id {kind}, digest long, first int, number int")
     seeds = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("kind").alias("k1"), F.max("kind").alias("k2"))
-    seeds = cut(seeds.filter("least < most").select("anchor", "least", (F.col("k1") == F.col("k2")).alias("one_class")))
-    hits = cut(found.join(seeds, "anchor"))
+    seeds = stored(seeds.filter("least < most").select("anchor", "least", (F.col("k1") == F.col("k2")).alias("one_class")))
+    hits = stored(found.join(seeds, "anchor"))
     sure = hits.filter("one_class and id > least").select("id", "digest", "first", "number")
 
     opened = hits.filter("not one_class").select("anchor", "kind", "id", "digest", "first", "number")
     rep = opened.groupBy("anchor", "kind").agg(F.min(F.struct("id", "digest", "first", "number")).alias("r"), F.max("id").alias("most"))
-    rep = cut(rep.select("anchor", "kind", "r.*", "most"))
+    rep = stored(rep.select("anchor", "kind", "r.*", "most"))
     by_doc = rep.groupBy("id", "digest").agg(F.collect_set(F.struct("anchor", "kind", "first", "number", "most")).alias("seeds"))
     windows = texts.join(by_doc, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "text", "seeds")
-    windows = cut(windows.mapInArrow(_window_rows, f"anchor long, kind long, place int, window long, id {kind}, most {kind}"))
+    windows = stored(windows.mapInArrow(_window_rows, f"anchor long, kind long, place int, window long, id {kind}, most {kind}"))
     # a window matters only where some document that has it comes after the smallest one
     least = windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("most").alias("most"))
-    least = cut(least.filter("least < most").drop("most"))
+    least = stored(least.filter("least < most").drop("most"))
     known = windows.join(least, ["anchor", "window"]).groupBy("anchor", "kind").agg(
         F.collect_set(F.struct("place", "least")).alias("places")
     )
-    extended = opened.join(cut(known), ["anchor", "kind"])
+    extended = opened.join(stored(known), ["anchor", "kind"])
     here = F.filter("places", lambda p: p["least"] < F.col("id"))
     some = extended.select("id", "digest", "first", F.explode(F.transform(here, lambda p: p["place"])).alias("place"))
     return sure.union(some.select("id", "digest", F.col("first") + F.col("place"), F.lit(1)))
