@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campanula.llm import bestfit, chat, mixing, quality, sanitize, secrets, simhash, substring, token_output, topk
+from campanula.llm import (
+    bestfit,
+    chat,
+    fill_in_middle,
+    mixing,
+    prefix_trie,
+    quality,
+    sanitize,
+    secrets,
+    simhash,
+    substring,
+    token_counts,
+    token_output,
+    topk,
+)
 from campanula.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +41,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_matrices": _on("documents", token_output.op8),
     "op9_sanitise": _on("documents", sanitize.op9),
     "op10_best_fit_packing": _on("documents", bestfit.op10),
+    "op11_fill_in_middle": _on("documents", fill_in_middle.op11),
+    "op12_prefix_trie": _on("conversations", prefix_trie.op12),
+    "op13_token_counts": _on("documents", token_counts.op13),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.SQL}
