@@ -36,11 +36,6 @@ def neq_or_null(c: ColumnOrName, value: object) -> Column:
     return (c != F.lit(value)) | c.isNull()
 
 
-def eq_or_null(c: ColumnOrName, value: object) -> Column:
-    c = as_col(c)
-    return (c == F.lit(value)) | c.isNull()
-
-
 def flag(condition: Column) -> Column:
     """1 when the condition holds, 0 otherwise (also when it is unknown)."""
     return F.when(condition, 1).otherwise(0)

@@ -56,8 +56,3 @@ def like_none(c: ColumnOrName, patterns: Sequence[str]) -> Column:
 
 def two_digits(c: ColumnOrName) -> Column:
     return F.lpad(as_col(c).cast("string"), 2, "0")
-
-
-def fold(c: ColumnOrName) -> Column:
-    """Array of texts to one lowered, comma separated text in sorted order."""
-    return F.lower(F.array_join(F.array_sort(c), ","))

@@ -2,8 +2,10 @@
 
 Two habits keep these safe on skewed keys.  Facts are reduced to one row per
 key (or per key and day) before they meet another table, which Spark does
-partly ahead of the shuffle.  And no side is broadcast by hint: Spark decides
-from measured sizes, except for lists cut to a fixed number of rows.
+partly ahead of the shuffle.  Where rows must meet a table on a key with few
+values, :func:`split_join` deals the rows of heavy keys over several places.
+And no side is broadcast by hint, except the list of heavy keys, which cannot
+be longer than ``SHARE``.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from campanula.functions.dates import days_between
 
-HOT_KEYS = 1000  # longest list of hot keys that is sent to every executor
-HOT_ROWS = 1_000_000  # rows from which a key counts as hot
+SHARE = 8192  # a key with more than this part of all rows is heavy, so there are fewer heavy keys than this
+HOT_ROWS = 100_000  # rows that any one place may hold, however few rows there are in all
 
 
 def join_left(base: DataFrame, dims: Sequence[tuple[DataFrame, str | list[str]]]) -> DataFrame:
@@ -25,18 +27,96 @@ def join_left(base: DataFrame, dims: Sequence[tuple[DataFrame, str | list[str]]]
     return reduce(lambda df, dim: df.join(dim[0], dim[1], "left"), dims, base)
 
 
-def role_join(df: DataFrame, dim: DataFrame, dim_key: str, roles: Mapping[str, str]) -> DataFrame:
-    """Join one dimension once per role.
+def key_weights(df: DataFrame, keys: Sequence[str], *, nulls: bool = False) -> DataFrame:
+    """Rows per key value, as columns ``_key0``, ... and ``_rows``, combined before the shuffle."""
+    rows = df if nulls else df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    return rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _drawn(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Columns a row's place is drawn from: ids, numbers and days besides the keys if there are any, as these are cheap to hash."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "date", "timestamp", "double", "decimal")
+    plain = [name for name, kind in df.dtypes if name not in keys and kind.startswith(kinds)]
+    return plain or df.columns
+
+
+def split_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    columns: Mapping[str, str],
+    *,
+    how: str = "left",
+    residual: Column | None = None,
+    null_safe: bool = False,
+    weights: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Equi join whose heavy keys are split over as many places as their weight asks for.
+
+    ``on`` maps key columns of ``left`` to those of ``right``; ``columns`` maps
+    new names to columns of ``right``.  A key weighs its rows in ``left``; a
+    place holds a ``SHARE``-th of all rows, or ``hot_rows`` if that is more.
+    Rows of a heavier key are dealt over several places, and the rows of
+    ``right`` with that key are repeated for each.  Rows whose key is NULL meet
+    nobody and are kept apart, over ``SHARE`` places, unless ``null_safe``
+    makes NULL a key like any other.  ``weights`` (see :func:`key_weights`) may
+    come from a cheaper table: they decide balance, never the result.  The
+    list of heavy keys is sent to every executor; it has fewer than ``SHARE``
+    rows, since each stands for more than that part of the total.
+    """
+    names = list(on)
+    if weights is None:
+        weights = key_weights(left, names, nulls=null_safe)
+    unit = F.greatest(weights.select(F.sum("_rows")).scalar() / SHARE, F.lit(hot_rows))
+    heavy = weights.where(F.col("_rows") > unit).withColumn("_places", F.ceil(F.col("_rows") / unit).cast("int")).drop("_rows")
+
+    def same(a: Column, b: Column) -> Column:
+        return a.eqNullSafe(b) if null_safe else a == b
+
+    def matches(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [same(df[k], other[f"_key{i}"]) for i, k in enumerate(keys)])
+
+    draw = F.xxhash64(*[F.col(c) for c in _drawn(left, names)])
+    salt = F.when(F.col("_places").isNotNull(), F.pmod(draw, F.col("_places")))
+    if not null_safe:
+        unknown = reduce(lambda a, b: a | b, [left[k].isNull() for k in names])
+        salt = F.when(unknown, F.pmod(draw, F.lit(SHARE))).otherwise(salt)
+    spread = left.join(F.broadcast(heavy), matches(left, heavy, names), "left")
+    spread = spread.select(*[left[c] for c in left.columns], F.coalesce(salt, F.lit(0)).cast("int").alias("_salt"))
+
+    side = right.select(
+        *[F.col(c).alias(f"_right{i}") for i, c in enumerate(on.values())], *[F.col(c).alias(n) for n, c in columns.items()]
+    )
+    side = side.join(F.broadcast(heavy), matches(side, heavy, [f"_right{i}" for i in range(len(on))]), "left")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_places"), F.lit(1)) - 1))
+    side = side.withColumn("_right_salt", copies).drop("_places", *[f"_key{i}" for i in range(len(on))])
+    meet = F.col("_salt") == F.col("_right_salt")
+    for i, name in enumerate(names):
+        meet = meet & same(F.col(name), F.col(f"_right{i}"))
+    joined = spread.join(side, meet if residual is None else meet & residual, how)
+    return joined.select(*left.columns, *columns)
+
+
+def role_join(
+    df: DataFrame,
+    dim: DataFrame,
+    dim_key: str,
+    roles: Mapping[str, str],
+    weights: Mapping[str, DataFrame] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join one dimension once per role, heavy and NULL keys split by weight.
 
     ``roles`` maps a column prefix to the key column of ``df``; the columns of
-    the dimension arrive as ``<prefix>_<column>``.
+    the dimension arrive as ``<prefix>_<column>``.  ``weights`` may hold the
+    weights of some roles; the others are counted in ``df`` as it is given,
+    one column each.
     """
+    weighed = {prefix: key_weights(df, [key]) for prefix, key in roles.items()} | dict(weights or {})
     for prefix, key in roles.items():
-        side = dim.select(
-            F.col(dim_key).alias(f"_{prefix}_key"),
-            *[F.col(c).alias(f"{prefix}_{c}") for c in dim.columns if c != dim_key],
-        )
-        df = df.join(side, df[key] == side[f"_{prefix}_key"], "left").drop(f"_{prefix}_key")
+        columns = {f"{prefix}_{c}": c for c in dim.columns if c != dim_key}
+        df = split_join(df, dim, {key: dim_key}, columns, weights=weighed[prefix], hot_rows=hot_rows)
     return df
 
 
@@ -61,50 +141,15 @@ def intersect_ids(*frames: DataFrame, on: str) -> DataFrame:
     return reduce(lambda acc, f: semi(acc, f, on), rest, key_set(first, on))
 
 
-def lookup(
-    df: DataFrame,
-    dim: DataFrame,
-    key: str,
-    *,
-    weight: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
-    salts: int = 64,
-) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, key: str, *, weight: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join to a frame with one row per key when some keys are hot.
 
     NULL is a key like any other.  ``weight`` is a column of ``dim`` that holds
-    the number of rows of ``df`` per key; it is counted when not given.  Keys
-    from ``hot_rows`` rows on - at most the ``hot_keys`` heaviest - are looked
-    up from a broadcast list.  The rows they belong to still pass through the
-    shuffle join that serves everyone else, but spread over ``salts`` places.
+    the number of rows of ``df`` per key; it is counted when not given.
     """
-    values = [c for c in dim.columns if c != key]
-    if weight is None:
-        dim = _weighed(df, dim, key)
-        weight = "_weight"
-    packed = dim.select(F.col(key).alias("_key"), F.struct(*values).alias("_value"), F.col(weight).alias("_rows"))
-    hot = (
-        packed.where(F.col("_rows") >= hot_rows)
-        .orderBy(F.col("_rows").desc(), F.col("_key"))
-        .limit(hot_keys)
-        .select(F.col("_key").alias("_hot_key"), F.col("_value").alias("_hot_value"))
-    )
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
-    spread = df.join(F.broadcast(hot), df[key].eqNullSafe(F.col("_hot_key")), "left").withColumn(
-        "_salt", F.when(F.col("_hot_value").isNotNull(), salt + 1).otherwise(F.lit(0).cast("bigint"))
-    )
-    side = packed.drop("_rows").withColumn("_side_salt", F.lit(0).cast("bigint"))
-    joined = spread.join(
-        side, (F.col("_salt") == F.col("_side_salt")) & spread[key].eqNullSafe(F.col("_key")), "left"
-    )
-    value = F.coalesce("_hot_value", "_value")
-    return joined.select(*[joined[c] for c in df.columns], *[value[c].alias(c) for c in values])
-
-
-def _weighed(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    counts = df.groupBy(F.col(key).alias("_count_key")).agg(F.count(F.lit(1)).alias("_weight"))
-    return dim.join(counts, dim[key].eqNullSafe(F.col("_count_key"))).drop("_count_key")
+    known = None if weight is None else dim.select(F.col(key).alias("_key0"), F.col(weight).alias("_rows"))
+    columns = {c: c for c in dim.columns if c != key}
+    return split_join(df, dim, {key: key}, columns, null_safe=True, weights=known, hot_rows=hot_rows)
 
 
 def interval_join(
@@ -138,10 +183,10 @@ def interval_join(
 def nearest_in_window(
     left: DataFrame,
     right: DataFrame,
-    on: str,
+    on: str | Sequence[str],
     left_date: str,
     right_date: str,
-    min_days: int,
+    min_days: int | None,
     max_days: int,
     name: str,
 ) -> DataFrame:
@@ -150,26 +195,24 @@ def nearest_in_window(
     Returns distinct ``(on, left_date, name)`` where there is one.  Both sides
     are reduced to distinct days first and merged in date order, so a key costs
     at most two rows per calendar day however many rows it has, and no pairs
-    are formed.
+    are formed.  ``min_days`` None looks back without limit.
     """
-    queries = left.select(on, F.col(left_date).alias("_left")).distinct().select(
-        on, "_left", F.lit(None).cast("date").alias("_right"), F.date_add("_left", max_days).alias("_at"), F.lit(1).alias("_kind")
+    on = [on] if isinstance(on, str) else list(on)
+    queries = left.select(*on, F.col(left_date).alias("_left")).distinct().select(
+        *on, "_left", F.lit(None).cast("date").alias("_right"), F.date_add("_left", max_days).alias("_at"), F.lit(1).alias("_kind")
     )
-    marks = right.select(on, F.col(right_date).alias("_right")).distinct().select(
-        on, F.lit(None).cast("date").alias("_left"), "_right", F.col("_right").alias("_at"), F.lit(0).alias("_kind")
+    marks = right.select(*on, F.col(right_date).alias("_right")).distinct().select(
+        *on, F.lit(None).cast("date").alias("_left"), "_right", F.col("_right").alias("_at"), F.lit(0).alias("_kind")
     )
-    w = Window.partitionBy(on).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*on).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = queries.unionByName(marks).withColumn(name, F.last("_right", ignorenulls=True).over(w))
-    return seen.where((F.col("_kind") == 1) & (days_between("_left", name) >= min_days)).select(
-        on, F.col("_left").alias(left_date), name
-    )
+    found = F.col(name).isNotNull() if min_days is None else days_between("_left", name) >= min_days
+    return seen.where((F.col("_kind") == 1) & found).select(*on, F.col("_left").alias(left_date), name)
 
 
-def asof_backward(
-    left: DataFrame, right: DataFrame, on: str, left_date: str, right_date: str, name: str, max_days: int = 36_525
-) -> DataFrame:
-    """Per key and left day, the latest right day on or before it."""
-    return nearest_in_window(left, right, on, left_date, right_date, -max_days, 0, name)
+def asof_backward(left: DataFrame, right: DataFrame, on: str, left_date: str, right_date: str, name: str) -> DataFrame:
+    """Per key and left day, the latest right day on or before it, however long ago."""
+    return nearest_in_window(left, right, on, left_date, right_date, None, 0, name)
 
 
 def asof_forward(
@@ -187,7 +230,7 @@ def asof_forward(
 
 
 def any_key_lookup(
-    df: DataFrame, dim: DataFrame, keys: Sequence[str], dim_key: str, value: str, name: str
+    df: DataFrame, dim: DataFrame, keys: Sequence[str], dim_key: str, value: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Left join on ``k1 = key OR k2 = key OR ...`` to a frame with unique keys.
 
@@ -196,14 +239,47 @@ def any_key_lookup(
     row with NULL.
     """
     roles = {f"_m{i}": k for i, k in enumerate(keys)}
-    side = dim.select(F.col(dim_key), F.col(value)).withColumn("hit", F.struct(F.col(dim_key), F.col(value))).select(dim_key, "hit")
-    found = role_join(df, side, dim_key, roles)
+    side = dim.select(F.col(dim_key), F.struct(F.col(dim_key), F.col(value)).alias("hit"))
+    found = role_join(df, side, dim_key, roles, hot_rows=hot_rows)
     hits = F.array_distinct(F.array_compact(F.array(*[F.col(f"{p}_hit") for p in roles])))
     return found.select(*[F.col(c) for c in df.columns], F.explode_outer(hits).alias("_hit")).select(
         *[F.col(c) for c in df.columns], F.col("_hit")[value].alias(name)
     )
 
 
-def theta_join(left: DataFrame, right: DataFrame, on: Column, residual: Column, how: str = "inner") -> DataFrame:
-    """Equi join with a further condition kept inside the join."""
-    return left.join(right, on & residual, how)
+def theta_join(
+    left: DataFrame, right: DataFrame, on: Mapping[str, str], columns: Mapping[str, str], residual: Column, how: str = "left", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Equi join with a further condition kept inside the join, heavy keys split by weight."""
+    return split_join(left, right, on, columns, how=how, residual=residual, hot_rows=hot_rows)
+
+
+def successor(
+    queries: DataFrame, entries: DataFrame, on: Sequence[str], at: str, value: str, *, strict: bool = True, width: float | None = None
+) -> DataFrame:
+    """``queries`` with ``value`` of the first entry of their group behind ``at`` (or on it, unless ``strict``).
+
+    Both sides hold ``on``, ``at`` and entries also ``value``; of entries at
+    one place the least value counts.  Queries without such an entry go.  The
+    two are merged in descending order of ``at``, so the cost is that of a sort
+    and no list or pair is formed.  With ``width`` a group is cut into spans of
+    that length, each sorted on its own: the first entry behind a span, found
+    by the same merge over span ends, stands for all that follow.
+    """
+    on = list(on)
+    if width is None:
+        first, then = (0, 1) if strict else (1, 0)
+        blank = F.lit(None).cast(entries.schema[value].dataType)
+        both = queries.withColumn(value, blank).withColumn("_kind", F.lit(first)).unionByName(
+            entries.select(*on, at, value).withColumn("_kind", F.lit(then)), allowMissingColumns=True
+        )
+        order = [F.col(at).desc(), F.col("_kind").asc(), F.col(value).desc_nulls_first()]
+        w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = both.withColumn(value, F.last(value, ignorenulls=True).over(w))
+        return seen.where((F.col("_kind") == first) & F.col(value).isNotNull()).drop("_kind")
+    span = F.floor(F.col(at) / width)
+    cut = queries.withColumn("_span", span)
+    ends = cut.select(*on, "_span").distinct().withColumn(at, ((F.col("_span") + 1) * width).cast(entries.schema[at].dataType))
+    carried = successor(ends, entries, on, at, value, strict=False)
+    inside = entries.select(*on, at, value).withColumn("_span", span).unionByName(carried)
+    return successor(cut, inside, [*on, "_span"], at, value, strict=strict).drop("_span")

@@ -16,16 +16,15 @@ from campanula.functions.dates import (
     parse_date,
     parse_yyyymmdd,
     to_date_lit,
-    within_days,
 )
 from campanula.functions.rules import bucket, flag
 from campanula.functions.text import matches, speed_mbps
 from campanula.operators.joining import interval_join, nearest_in_window
-from campanula.operators.lineage import cut
-from campanula.operators.snapshot import latest_row, latest_tied_rows, latest_ties, latest_values
+from campanula.operators.snapshot import latest_row, latest_tied_rows, latest_ties
 from campanula.plans.pricing import bundle_up, has_dvr
 
 KEY = "account_no"
+Period = tuple["dt.date | str", "dt.date | str"]  # first and last day
 # --- fixed values -----------------------------------------------------------
 # order types that are not a customer's decision to change the plan
 EXCLUDED_ORDER_TYPES = ("CONNECT", "V_DISCO", "NON PAY", "RESTART")
@@ -108,33 +107,62 @@ def attach_orders(
     ).select("*", "_choice.*").drop("_choice")
 
 
+def in_periods(df: DataFrame, day: str, periods: Sequence[Period], name: str = "period") -> DataFrame:
+    """Rows whose ``day`` lies in a period, once for each, with the period's number.
+
+    The number is a key like the account: what follows works on all periods in
+    one pass, whatever their number.  Periods may overlap.  The range of all of
+    them is a plain filter that reaches the scan.
+    """
+    spans = F.array(
+        *[F.struct(F.lit(i).alias("n"), to_date_lit(a).alias("a"), to_date_lit(b).alias("b")) for i, (a, b) in enumerate(periods)]
+    )
+    inside = df.where(F.col(day).between(to_date_lit(min(a for a, _ in periods)), to_date_lit(max(b for _, b in periods))))
+    numbers = F.transform(F.filter(spans, lambda p: F.col(day).between(p["a"], p["b"])), lambda p: p["n"])
+    return inside.withColumn(name, F.explode(numbers))
+
+
 def attribute_calls(
-    recs: DataFrame, calls: DataFrame, *, key: str = KEY, rec_dt: str = "rec_date", call_dt: str = "call_date", days: int = 30
+    recs: DataFrame,
+    calls: DataFrame,
+    *,
+    key: str = KEY,
+    by: Sequence[str] = (),
+    rec_dt: str = "rec_date",
+    call_dt: str = "call_date",
+    days: int = 30,
 ) -> DataFrame:
     """Recommendations answered by a call within ``days`` days, with the latest
-    such call and the account's first and last call."""
-    latest = nearest_in_window(recs, calls, key, rec_dt, call_dt, 0, days, "call_date")
-    span = calls.groupBy(key).agg(F.min(call_dt).alias("first_call"), F.max(call_dt).alias("last_call"))
-    return recs.join(latest, [key, rec_dt]).join(span, key)
+    such call and the account's first and last call; ``by`` are further keys
+    both sides share, such as a period."""
+    keys = [key, *by]
+    latest = nearest_in_window(recs, calls, keys, rec_dt, call_dt, 0, days, "call_date")
+    span = calls.groupBy(*keys).agg(F.min(call_dt).alias("first_call"), F.max(call_dt).alias("last_call"))
+    return recs.join(latest, [*keys, rec_dt]).join(span, keys)
 
 
-def latest_order_in_period(
-    orders: DataFrame, start: dt.date | str, end: dt.date | str, area: str = INBOUND_AREAS, *, key: str = KEY
+def latest_orders_by_period(
+    orders: DataFrame, periods: Sequence[Period], area: str = INBOUND_AREAS, *, key: str = KEY
 ) -> DataFrame:
-    """Per account, the latest order of the period that was sold in a matching
+    """Per account and period, the latest order that was sold in a matching
     area and names one package."""
-    in_period = plan_orders(orders).where(
-        F.col("order_date").between(to_date_lit(start), to_date_lit(end)) & matches("salesrep_area", area)
-    )
-    named = in_period.withColumns({"new_bundle": bundle_up(), "new_dvr": has_dvr("stb_sc")}).where(
+    sold = plan_orders(orders).where(matches("salesrep_area", area))
+    named = in_periods(sold, "order_date", periods).withColumns({"new_bundle": bundle_up(), "new_dvr": has_dvr("stb_sc")}).where(
         F.col("new_bundle").isNotNull()
     )
-    return latest_row(named, [key], [F.col("order_ts").desc(), F.col("order_no").asc()])
+    return latest_row(named, [key, "period"], [F.col("order_ts").desc(), F.col("order_no").asc()])
 
 
-def best_touch_per_account(df: DataFrame, order_spec: Sequence[Column], key: str = KEY) -> DataFrame:
-    """One row per account, by an explicit priority that ends in unique ids."""
-    return latest_row(df, [key], order_spec)
+def latest_order_in_period(
+    orders: DataFrame, start: dt.date | str, end: dt.date | str, area: str = INBOUND_AREAS, *, key: str = KEY
+) -> DataFrame:
+    """:func:`latest_orders_by_period` for one period."""
+    return latest_orders_by_period(orders, [(start, end)], area, key=key).drop("period")
+
+
+def best_touch_per_account(df: DataFrame, order_spec: Sequence[Column], key: str = KEY, by: Sequence[str] = ()) -> DataFrame:
+    """One row per account (and further keys), by an explicit priority that ends in unique ids."""
+    return latest_row(df, [key, *by], order_spec)
 
 
 def before_or_known(order_date: ColumnOrName, mark: ColumnOrName, bundle: ColumnOrName) -> Column:
@@ -212,18 +240,25 @@ def tenure_bucket(years: ColumnOrName) -> Column:
     )
 
 
+def latest_city_tenure(snapshots: DataFrame, key: str = KEY) -> DataFrame:
+    """City, address and tenure class of each account's latest snapshot, in one
+    aggregation that is combined before its shuffle; of snapshots of one day
+    the greatest values count."""
+    place = F.struct("city", "addr1", "tenure")
+    order = F.struct("as_of", "city", "addr1", "tenure")
+    latest = snapshots.groupBy(key).agg(F.max_by(place, order).alias("_place"))
+    return latest.select(key, "_place.city", "_place.addr1", tenure_bucket("_place.tenure").alias("tenure_class"))
+
+
 def enrich_city_tenure(df: DataFrame, snapshots: DataFrame, key: str = KEY) -> DataFrame:
     """Add latest city, address and tenure class.
 
-    Only snapshots of the accounts at hand are looked at, which keeps most of
-    the history out of the shuffle; the accounts are written once because they
-    are read twice.
+    The history shrinks to one row per account while it is read, and the
+    accounts at hand are read once; nothing is written in between.  Where the
+    history is large, Spark filters it by the accounts of the other side while
+    it scans (runtime Bloom filter).
     """
-    df = cut(df)
-    wanted = snapshots.join(df.select(key), key, "left_semi")
-    latest = latest_values(wanted, [key], [F.col("as_of").desc()], ["city", "addr1", "tenure"])
-    info = latest.select(key, "city", "addr1", tenure_bucket("tenure").alias("tenure_class"))
-    return df.join(info, key, "left")
+    return df.join(latest_city_tenure(snapshots, key), key, "left")
 
 
 def email_engagement(feedback: DataFrame, since: dt.date | str) -> DataFrame:
@@ -248,18 +283,24 @@ def email_offer_match(engagement: DataFrame, offers: DataFrame, since: dt.date |
     return interval_join(recs, sent, key, "rec_date", "date_sent", 0, 1)
 
 
+def dated_recommendations(recs: DataFrame) -> DataFrame:
+    """Recommendations with their day; ``'0'`` marks a missing date."""
+    return recs.where(F.col("date_text") != "0").withColumn("rec_date", parse_date(F.substring("date_text", 1, 10), "yyyy-MM-dd"))
+
+
 def inbound_recommendations(recs: DataFrame, start: dt.date | str, end: dt.date | str) -> DataFrame:
-    """Recommendations of a period; ``'0'`` marks a missing date."""
-    dated = recs.where(F.col("date_text") != "0").withColumn("rec_date", parse_date(F.substring("date_text", 1, 10), "yyyy-MM-dd"))
-    return dated.where(F.col("rec_date").between(to_date_lit(start), to_date_lit(end)))
+    """Recommendations of a period."""
+    return dated_recommendations(recs).where(F.col("rec_date").between(to_date_lit(start), to_date_lit(end)))
+
+
+def all_inbound_calls(interactions: DataFrame) -> DataFrame:
+    return interactions.where(matches("channel", INBOUND_AREAS) & matches("info", INBOUND_MEDIA)).select(
+        KEY, F.col("start_date").alias("call_date")
+    )
 
 
 def inbound_calls(interactions: DataFrame, start: dt.date | str, end: dt.date | str) -> DataFrame:
-    return interactions.where(
-        F.col("start_date").between(to_date_lit(start), to_date_lit(end))
-        & matches("channel", INBOUND_AREAS)
-        & matches("info", INBOUND_MEDIA)
-    ).select(KEY, F.col("start_date").alias("call_date"))
+    return all_inbound_calls(interactions).where(F.col("call_date").between(to_date_lit(start), to_date_lit(end)))
 
 
 def outbound_calls(feedback: DataFrame, since: dt.date | str) -> DataFrame:
@@ -275,14 +316,5 @@ def outbound_calls(feedback: DataFrame, since: dt.date | str) -> DataFrame:
     return latest.where(F.col("call_date") >= to_date_lit(since))
 
 
-def credit_window(touch: ColumnOrName, order: ColumnOrName, days: int = 30) -> Column:
-    return within_days(touch, order, 0, days)
-
-
 def month_of(flagged: ColumnOrName, order_date: ColumnOrName) -> Column:
     return F.when(as_col(flagged) == 1, month_start(order_date))
-
-
-def days_from_recommendation() -> Column:
-    """Days from recommendation to order; negative when the order came first."""
-    return days_between("rec_date", "order_date")

@@ -15,7 +15,6 @@ from campanula.functions.rules import bucket
 from campanula.functions.text import like_any, like_none
 from campanula.operators.grouping import ratio
 from campanula.operators.joining import join_left
-from campanula.operators.lineage import cut
 from campanula.operators.ranking import rank_large
 from campanula.operators.snapshot import latest_row, latest_snapshot
 from campanula.plans.customers import control_group_digits
@@ -344,11 +343,12 @@ def tier() -> Column:
     return bucket([(rule, f"Tier_{i:02d}") for i, rule in enumerate(rules)], f"Tier_{len(rules)}")
 
 
-def rank_within_group(df: DataFrame) -> DataFrame:
+def rank_within_group(df: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """Position of each account within its group and phone validity.
 
     One group holds most accounts, so positions are worked out by counting
-    instead of sorting a group in one task.  The three orderings share one
+    instead of sorting a group in one task.  ``accounts`` may be a cheaper
+    frame with about the same accounts, to take split points from.  The three orderings share one
     ranking: a column that does not count for a group is blanked there.
     """
     control = F.col("customer_group") == "Control_group_1"
@@ -362,7 +362,8 @@ def rank_within_group(df: DataFrame) -> DataFrame:
         }
     )
     ranked = rank_large(
-        keyed, ["customer_group", "check_phone"], [("_tier", False), ("_decile", False), ("_rate", True)], "_id", "rank"
+        keyed, ["customer_group", "check_phone"], [("_tier", False), ("_decile", False), ("_rate", True)], "_id", "rank",
+        measured=None if accounts is None else accounts.select(F.col(KEY).cast("bigint").alias("_id")),
     )
     return ranked.withColumn("rank", F.when(F.col("customer_group") != "Exclusion", F.col("rank"))).drop(
         "_tier", "_decile", "_rate", "_id"
@@ -429,10 +430,9 @@ def campaign(
 ) -> DataFrame:
     """The day's campaign list.
 
-    The prioritised list is read several times by the ranking, so it is
-    written once in between where the cluster names a checkpoint folder.
+    Nothing is written and no job runs before the list is asked for.
     """
-    ranked = rank_within_group(cut(prioritise(campaign_base(s, as_of))))
+    ranked = rank_within_group(prioritise(campaign_base(s, as_of)), latest_snapshot(s.dna, "dt"))
     return ranked.withColumns(
         {
             "notification": massive_notification(),

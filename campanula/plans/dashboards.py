@@ -12,12 +12,13 @@ from campanula.functions.dates import days_between, month_start
 from campanula.functions.rules import bucket, flag, neq_or_null
 from campanula.functions.text import matches
 from campanula.operators.joining import join_left
-from campanula.operators.sets import union_months
 from campanula.operators.snapshot import latest_row
 from campanula.plans import attribution as at
 from campanula.plans.customers import control_group_two
 from campanula.plans.pricing import (
     DISCOUNT,
+    bundle_up,
+    code_weights,
     discounted_arpu_change,
     has_dvr,
     old_new_price,
@@ -28,6 +29,11 @@ from campanula.plans.pricing import (
 KEY = "account_no"
 
 
+def order_weights(orders: DataFrame) -> DataFrame:
+    """How often each package is ordered: enough to balance joins on the package of an order."""
+    return code_weights(orders.select(bundle_up().alias("new_bundle")), "new_bundle")
+
+
 def _product_change(df: DataFrame, old_code: str) -> DataFrame:
     return df.withColumns(
         {"rgu_change": at.rgu_change(old_code, "new_bundle"), "rgu_category": at.rgu_category(old_code, "new_bundle")}
@@ -74,6 +80,7 @@ def email_outcomes(
         front_book,
         old_code="from_code",
         new_code="new_bundle",
+        weights=(code_weights(recommendations, "from_code"), order_weights(orders)),
     )
     best = at.best_touch_per_account(
         priced.withColumn("exact_target", bucket([(F.col("to_code") == F.col("new_bundle"), 1)], 2)),
@@ -168,6 +175,7 @@ def outbound_outcomes(
         front_book,
         old_code="pkg_cde",
         new_code="new_bundle",
+        weights=(code_weights(recommendations, "pkg_cde"), order_weights(orders)),
     )
     best = at.best_touch_per_account(
         priced.withColumn("exact_target", bucket([(F.col("recommendedpkg") == F.col("new_bundle"), 1)], 2)),
@@ -216,27 +224,32 @@ def outbound_credits(outbound: DataFrame, accept_pattern: str = at.ACCEPT_PATTER
     ).select(KEY, F.col("rec_date").alias("outbound_rec"), F.col("outbound_month").alias("outbound_month"))
 
 
-def inbound_month(
+def inbound_periods(
     recommendations: DataFrame,
     interactions: DataFrame,
     orders: DataFrame,
     prices: DataFrame,
     front_book: DataFrame,
     *,
-    start: dt.date | str,
-    end: dt.date | str,
+    periods: Sequence[at.Period],
     days: int = 30,
 ) -> DataFrame:
-    """Inbound result of one period: one row per account that called back."""
-    recs = at.inbound_recommendations(recommendations, start, end).withColumn("group_type", control_group_two(KEY))
+    """Inbound results: one row per period and account that called back in it.
+
+    The period is a key beside the account, so every input is read once for
+    all periods.
+    """
+    by = ["period"]
+    recs = at.in_periods(at.dated_recommendations(recommendations), "rec_date", periods)
     # same-day recommendations of an account differ in nothing the choice
     # below looks at, so one per day is enough
-    recs = latest_row(recs, [KEY, "rec_date"], [F.col("rec_id").asc()])
-    answered = at.attribute_calls(recs, at.inbound_calls(interactions, start, end), days=days)
-    latest = at.latest_order_in_period(orders, start, end).select(
-        KEY, "order_no", "order_date", "ord_typ", "new_bundle", "new_dvr"
+    recs = latest_row(recs, [KEY, *by, "rec_date"], [F.col("rec_id").asc()]).withColumn("group_type", control_group_two(KEY))
+    calls = at.in_periods(at.all_inbound_calls(interactions), "call_date", periods)
+    answered = at.attribute_calls(recs, calls, by=by, days=days)
+    latest = at.latest_orders_by_period(orders, periods).select(
+        KEY, *by, "order_no", "order_date", "ord_typ", "new_bundle", "new_dvr"
     )
-    joined = answered.join(latest, KEY, "left").withColumn("days_to_order", days_between("rec_date", "order_date"))
+    joined = answered.join(latest, [KEY, *by], "left").withColumn("days_to_order", days_between("rec_date", "order_date"))
     best = at.best_touch_per_account(
         joined,
         [
@@ -246,6 +259,7 @@ def inbound_month(
             F.col("call_date").desc(),
             F.col("rec_id").asc(),
         ],
+        by=by,
     )
     priced = old_new_price(
         best.withColumn("old_dvr", has_dvr("stb")),
@@ -253,6 +267,7 @@ def inbound_month(
         front_book,
         old_code="pkg_cde",
         new_code="new_bundle",
+        weights=(code_weights(recommendations, "pkg_cde"), order_weights(orders)),
     )
     judged = at.migration_flags(
         priced, sent="rec_date", first_call="first_call", last_call="last_call", target="recommendedpkg", days=days
@@ -260,6 +275,11 @@ def inbound_month(
     return _product_change(price_delta(judged), "pkg_cde").withColumn("rec_month", month_start("rec_date"))
 
 
+def inbound_month(*tables: DataFrame, start: dt.date | str, end: dt.date | str, days: int = 30) -> DataFrame:
+    """Inbound result of one period: one row per account that called back."""
+    return inbound_periods(*tables, periods=[(start, end)], days=days).drop("period")
+
+
 def cross_channel_exclusion(df: DataFrame, mail: DataFrame, outbound: DataFrame, month: str = "rec_month") -> DataFrame:
     """Mark accounts another channel won in the same or a later month
     (excluded), or by email in an earlier one."""
@@ -290,14 +310,11 @@ def conversion_outcome(df: DataFrame) -> DataFrame:
     )
 
 
-def inbound_performance(
-    months: Sequence[DataFrame], mail: DataFrame, outbound: DataFrame, snapshots: DataFrame
-) -> DataFrame:
-    """All months, one row per account, credited against the accounts the email
-    and outbound channels won."""
-    stacked = union_months(*months)
+def inbound_performance(inbound: DataFrame, mail: DataFrame, outbound: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """All periods (:func:`inbound_periods`), one row per account, credited
+    against the accounts the email and outbound channels won."""
     one = latest_row(
-        stacked,
+        inbound,
         [KEY],
         [
             F.col("prior_to_sent").asc_nulls_last(),
@@ -306,8 +323,9 @@ def inbound_performance(
             F.col("migrated").desc(),
             F.col("rec_date").desc(),
             F.col("rec_id").asc(),
+            F.col("period").asc(),
         ],
-    )
+    ).drop("period")
     excluded = cross_channel_exclusion(one, mail, outbound)
     judged = conversion_outcome(excluded).withColumn("email_id", F.lit(" "))
     return at.enrich_city_tenure(judged, snapshots)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campanula.functions.rules import flag, value_map
 from campanula.operators.grouping import conditional_max
+from campanula.operators.joining import HOT_ROWS, split_join, successor
 from campanula.plans.pricing import DVR_CHARGE, has_dvr
 
 # --- fixed values: video service of the profile -> name in the catalogue -----
@@ -156,19 +157,35 @@ def catalogue_key(profile: DataFrame) -> DataFrame:
     )
 
 
-def bau_offer(profile: DataFrame, front_book: DataFrame) -> DataFrame:
-    """Cheapest catalogue package that keeps the line-up, is at least as fast
-    and costs more than today (a recorder adds its charge to the new price).
-    Of packages with that price, the fastest.
+LINE_UP = ["connection", "play", "tv", "has_internet", "has_video", "has_voice"]
+PRICE_SPAN = 16.0  # prices that are sorted together
 
-    Only the fastest package of a line-up and price can ever be chosen, so the
-    catalogue shrinks to one price list per line-up, no longer than there are
-    different prices.  A customer meets one list and picks its first entry
-    that fits; customers and packages are never paired.
-    """
-    line_up = ["connection", "play", "tv", "has_internet", "has_video", "has_voice"]
+
+def speed_blocks(speeds: DataFrame) -> DataFrame:
+    """Distinct speeds of a line-up with their place from the fastest, and the
+    blocks of 1, 2, 4, ... places each lies in."""
+    by_speed = Window.partitionBy(*LINE_UP)
+    placed = speeds.withColumns(
+        {
+            "place": F.row_number().over(by_speed.orderBy(F.col("speed_to").desc())),
+            "_levels": F.ceil(F.log2(F.count(F.lit(1)).over(by_speed) + 1)).cast("int"),
+        }
+    )
+    return placed.withColumn("level", F.explode(F.sequence(F.lit(0), "_levels"))).select(
+        *LINE_UP, "speed_to", "place", "level", F.expr("shiftright(place - 1, level)").alias("block")
+    )
+
+
+def covering_blocks(df: DataFrame, places: str) -> DataFrame:
+    """One row for each block of the unique set that covers the first ``places`` places."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.col(places).bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
+    return df.withColumn("level", F.explode(bits)).withColumn("block", F.expr(f"shiftleft(shiftright({places}, level + 1), 1)"))
+
+
+def catalogue_prices(front_book: DataFrame) -> DataFrame:
+    """The catalogue reduced to what can be chosen: per line-up and price the fastest package."""
     fastest = F.struct(-F.col("speed"), "package_code")
-    catalogue = (
+    reduced = (
         front_book.withColumns(
             {
                 "has_voice": flag(F.col("phone").isNotNull()),
@@ -176,26 +193,54 @@ def bau_offer(profile: DataFrame, front_book: DataFrame) -> DataFrame:
                 "has_internet": flag(F.col("modem").isNotNull()),
             }
         )
-        .groupBy(*line_up, F.col("price").alias("price_to"))
+        .groupBy(*LINE_UP, F.col("price").alias("price_to"))
         .agg(F.min_by(F.struct("package_code", "speed"), fastest).alias("_package"))
     )
-    entry = F.struct("price_to", F.col("_package.speed").alias("speed_to"), F.col("_package.package_code").alias("package_to"))
-    lists = catalogue.groupBy(*line_up).agg(F.array_sort(F.collect_list(entry)).alias("_prices"))
+    return reduced.select(*LINE_UP, "price_to", F.col("_package.speed").alias("speed_to"), F.col("_package.package_code").alias("package_to"))
+
+
+def bau_offer(profile: DataFrame, front_book: DataFrame, span: float = PRICE_SPAN, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Cheapest catalogue package that keeps the line-up, is at least as fast
+    and costs more than today (a recorder adds its charge to the new price).
+    Of packages with that price, the fastest.
+
+    Customers shrink to distinct questions (line-up, speed, price) first.  The
+    speeds of a line-up are placed from the fastest; every package is filed in
+    the blocks of 1, 2, 4, ... places that hold its speed, and the speeds a
+    question allows are a few such blocks.  In each block the answer is the
+    next higher price, found by merging questions and prices in sorted spans.
+    So no list is held per line-up and nothing is paired; the cost is that of
+    sorting, times the logarithm of the number of speeds.  Answers return to
+    the customers by a join that splits questions many customers share.
+    """
+    question = [*LINE_UP, "_extra", "speed_from", "price_from"]
     customers = catalogue_key(profile).select(
         "account_no",
         F.col("connection").alias("drop_kind"),
-        *line_up,
+        *LINE_UP,
         F.col("package_code").alias("package_from"),
         F.col("total_charge").alias("price_from"),
         F.col("down_speed").alias("speed_from"),
         F.when(F.col("dvr") == 1, DVR_CHARGE).otherwise(0).alias("_extra"),
     )
-    fits = F.filter(
-        "_prices",
-        lambda p: (p["price_to"] + F.col("_extra") > F.col("price_from")) & (p["speed_to"] >= F.col("speed_from")),
-    )
-    chosen = customers.join(lists, line_up).withColumn("_best", F.get(fits, F.lit(0))).where(F.col("_best").isNotNull())
+    questions = customers.dropna(subset=question).groupBy(*question).agg(F.count(F.lit(1)).alias("_rows"))
+
+    prices = catalogue_prices(front_book).dropna(subset=[*LINE_UP, "price_to", "speed_to"])
+    blocks = speed_blocks(prices.select(*LINE_UP, "speed_to").distinct())
+    speeds = blocks.where(F.col("level") == 0).select(*LINE_UP, F.col("speed_to").alias("speed_from"), "place")
+    allowed = successor(questions.select(*LINE_UP, "speed_from").distinct(), speeds, LINE_UP, "speed_from", "place", strict=False)
+    asked = covering_blocks(questions.join(allowed, [*LINE_UP, "speed_from"]), "place").withColumn("_at", F.col("price_from"))
+
+    answer = F.struct("price_to", (-F.col("speed_to")).alias("slowness"), "package_to").alias("_answer")
+    filed = prices.join(blocks, [*LINE_UP, "speed_to"]).withColumn("_extra", F.explode(F.array(F.lit(0), F.lit(DVR_CHARGE))))
+    filed = filed.select(*LINE_UP, "level", "block", "_extra", (F.col("price_to") + F.col("_extra")).alias("_at"), answer)
+    found = successor(asked, filed, [*LINE_UP, "level", "block", "_extra"], "_at", "_answer", width=span)
+    best = found.groupBy(*question).agg(F.min("_answer").alias("_best"))
+
+    weights = questions.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(question)], "_rows")
+    chosen = split_join(customers, best, {c: c for c in question}, {"_best": "_best"}, how="inner", weights=weights, hot_rows=hot_rows)
     return chosen.select(
-        "account_no", "drop_kind", "package_from", "price_from", "speed_from", "_best.*",
+        "account_no", "drop_kind", "package_from", "price_from", "speed_from",
+        "_best.price_to", (-F.col("_best.slowness")).alias("speed_to"), "_best.package_to",
         (F.col("_best.price_to") - F.col("price_from")).alias("delta_price"),
     )

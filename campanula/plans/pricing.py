@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from campanula.functions.dates import ColumnOrName, as_col
 from campanula.functions.rules import bucket, flag
-from campanula.operators.joining import role_join
+from campanula.operators.joining import HOT_ROWS, key_weights, role_join
 from campanula.operators.snapshot import latest_ties
 
 # --- fixed values -----------------------------------------------------------
@@ -70,6 +70,11 @@ def asset_price(assets: DataFrame) -> DataFrame:
     return latest.groupBy("package_code").agg(F.round(F.sum("charge"), 2).alias("price"))
 
 
+def code_weights(df: DataFrame, code: str) -> DataFrame:
+    """Rows per package code, for :func:`old_new_price`."""
+    return key_weights(df, [code])
+
+
 def old_new_price(
     df: DataFrame,
     prices: DataFrame,
@@ -79,15 +84,20 @@ def old_new_price(
     new_code: str,
     old_dvr: str = "old_dvr",
     new_dvr: str = "new_dvr",
+    weights: tuple[DataFrame, DataFrame] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add old and new price; a recorder adds its charge to catalogue packages.
 
     Prices and catalogue become one small table with a row per package, so
-    each role costs one join.
+    each role costs one join.  Codes have few values and many rows have none:
+    both joins are split by weight.  ``weights`` of old and new codes from a
+    table at hand (:func:`code_weights`) save counting ``df``.
     """
     listed = front_book.select("package_code").distinct().withColumn("listed", F.lit(1))
     dim = prices.select("package_code", "price").join(listed, "package_code", "full_outer")
-    priced = role_join(df, dim, "package_code", {"_old": old_code, "_new": new_code})
+    known = dict(zip(("_old", "_new"), weights, strict=True)) if weights else None
+    priced = role_join(df, dim, "package_code", {"_old": old_code, "_new": new_code}, known, hot_rows)
 
     def price(role: str, dvr: str) -> Column:
         extra = F.when((F.col(dvr) == 1) & F.col(f"{role}_listed").isNotNull(), DVR_CHARGE).otherwise(0)

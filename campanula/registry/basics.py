@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from campanula.functions import dates as d
 from campanula.functions import keys, text
 from campanula.functions.rules import bucket, is_x, neq_or_null, value_map
 from campanula.operators import snapshot as sn
-from campanula.operators.grouping import count_distinct
+from campanula.operators.grouping import count_distinct, fold_strings, multiset
 from campanula.plans import attribution as at
 from campanula.plans.collections import DIALER_FIELDS
 from campanula.plans.offers import VIDEO_SERVICES
@@ -58,20 +57,40 @@ def _(t):
     return view.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
 
 
+def _order_extract(t):
+    return t.orders.select(
+        F.col("o_orderkey").alias("order_key"),
+        F.col("o_custkey").alias("customer_key"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+
+
+def _exported(t, out, name, **options):
+    path = f"{src.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    src.export_csv(out, path, **options)
+    return path
+
+
 @query(
     "export_csv",
     "SELECT o_orderkey AS order_key, o_custkey AS customer_key, o_orderpriority AS priority FROM orders",
 )
 def _(t):
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="export-")
-    path = f"{folder.rstrip('/')}/export_csv/{uuid.uuid4().hex}"
-    out = t.orders.select(
-        F.col("o_orderkey").alias("order_key"),
-        F.col("o_custkey").alias("customer_key"),
-        F.col("o_orderpriority").alias("priority"),
-    )
-    src.export_csv(out, path)
-    return t.spark.read.csv(path, header=True, schema=out.schema)
+    out = _order_extract(t)
+    return t.spark.read.csv(_exported(t, out, "export_csv"), header=True, schema=out.schema)
+
+
+@query(
+    "export_csv_single_file",
+    "SELECT o_orderkey AS order_key, o_custkey AS customer_key, o_orderpriority AS priority, 1 AS files FROM orders",
+)
+def _(t):
+    """The hand-over extract, sorted and in one file, read back with the number of its files."""
+    out = _order_extract(t)
+    path = _exported(t, out, "export_single", single_file=True, order=[F.asc("order_key")])
+    back = t.spark.read.csv(path, header=True, schema=out.schema)
+    files = back.select(F.count_distinct("_metadata.file_name").cast("int")).scalar()
+    return back.withColumn("files", files)
 
 
 @query(
@@ -636,8 +655,16 @@ def _(t):
     "SELECT account, array_to_string(list_sort(list(category)), ',') AS categories, count(category) AS entries FROM exclusions GROUP BY 1",
 )
 def _(t):
-    grouped = t.exclusions.groupBy("account").agg(F.collect_list("category").alias("all"), F.count("category").alias("entries"))
-    return grouped.select("account", F.array_join(F.array_sort("all"), ",").alias("categories"), "entries")
+    folded = fold_strings(t.exclusions, ["account"], "category", "categories", lower=False)
+    return folded.select("account", "categories", "entries")
+
+
+@query(
+    "multiset_counts",
+    "SELECT account, lower(category) AS category, count(*) AS n FROM exclusions WHERE category IS NOT NULL GROUP BY 1, 2",
+)
+def _(t):
+    return multiset(t.exclusions, ["account"], F.lower("category"), "category")
 
 
 fragment("latest_csr", "SELECT * FROM csr WHERE as_of = (SELECT max(as_of) FROM csr)")

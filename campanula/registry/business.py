@@ -320,8 +320,8 @@ fragment(
 )
 
 
-def _repriced(t):
-    orders = t.orders_activity.select(
+def _coded_orders(t):
+    return t.orders_activity.select(
         "order_no",
         F.col("cable_down").alias("from_code"),
         pr.bundle_up().alias("new_bundle"),
@@ -331,8 +331,11 @@ def _repriced(t):
         F.when(F.col("order_no") % 2 == 0, 15).otherwise(0).alias("discount"),
         F.substring("internet_up", 1, 5).alias("target"),
     )
+
+
+def _repriced(t):
     return pr.old_new_price(
-        orders, pr.package_price_panel(t.package_prices), t.front_book, old_code="from_code", new_code="new_bundle"
+        _coded_orders(t), pr.package_price_panel(t.package_prices), t.front_book, old_code="from_code", new_code="new_bundle"
     )
 
 
@@ -372,8 +375,7 @@ def _(t):
 def _(t):
     from campanula.operators.joining import role_join
 
-    orders = _repriced(t).drop("old_price", "new_price")
-    priced = role_join(orders, pr.asset_price(t.assets), "package_code", {"old": "from_code", "new": "new_bundle"})
+    priced = role_join(_coded_orders(t), pr.asset_price(t.assets), "package_code", {"old": "from_code", "new": "new_bundle"})
     return pr.delta_arpu_adjusted(priced, new_code="new_bundle", target_code="target", discount="discount").select(
         "order_no", "new_price_dvr", "delta_arpu"
     )

@@ -77,8 +77,8 @@ def _(t):
 
 fragment(
     "rates",
-    "SELECT coalesce(field_1, field_2) AS account, round(CAST(sum(CASE WHEN child_outcome = 'No contesta1' THEN 0 ELSE 1 END) AS DOUBLE)"
-    " / nullif(CAST(sum(CASE WHEN contact_id IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE), 0), 2) AS contact_rate FROM dialer_history GROUP BY 1",
+    "SELECT account, CASE WHEN den > 0 THEN ((200 * num + den) // (2 * den)) / 100 END AS contact_rate FROM (SELECT coalesce(field_1, field_2) AS account,"
+    " count(*) FILTER (child_outcome IS DISTINCT FROM 'No contesta1') AS num, count(contact_id) AS den FROM dialer_history GROUP BY 1)",
 )
 
 
@@ -231,7 +231,7 @@ fragment(
 
 @query("rank_within_group", "SELECT account, customer_group, check_phone, tier, rank FROM placed")
 def _(t):
-    ranked = co.rank_within_group(co.cut(co.prioritise(co.campaign_base(sources(t), AS_OF))))
+    ranked = co.rank_within_group(co.prioritise(co.campaign_base(sources(t), AS_OF)))
     return ranked.select("account", "customer_group", "check_phone", "tier", "rank")
 
 
@@ -279,7 +279,7 @@ CHANNEL = "CASE " + " ".join(
 
 @query("contact_channel", f"SELECT account, rank, {CHANNEL} AS contact_channel FROM placed")
 def _(t):
-    ranked = co.rank_within_group(co.cut(co.prioritise(co.campaign_base(sources(t), AS_OF))))
+    ranked = co.rank_within_group(co.prioritise(co.campaign_base(sources(t), AS_OF)))
     channel = co.contact_channel(AS_OF, CAPACITY, 20)
     return ranked.select("account", "rank", channel.alias("contact_channel"))
 
@@ -314,6 +314,7 @@ def _(t):
 def _(t):
     """Capacity on its own: the first places of every group, nobody else ranked."""
     base = co.prioritise(co.campaign_base(sources(t), AS_OF)).where(co.reachable())
-    order = [F.col("tier").asc(), F.col("decile").asc_nulls_last(), F.col("account").cast("bigint").asc()]
-    best = rk.top_capacity(base, ["customer_group"], order, "account", CAPACITY, 0.1, "place")
+    base = base.withColumn("number", F.col("account").cast("bigint"))
+    order = [("tier", False), ("decile", False), ("number", False)]
+    best = rk.top_capacity(base, ["customer_group"], order, CAPACITY, 0.1, "place", exact=2)
     return best.select("account", "customer_group", "place")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from campanula.operators.lineage import cut
 from campanula.plans import attribution as at
 from campanula.plans import dashboards as db
 from campanula.registry.base import bundle_sql, fragment, products_sql, query
@@ -251,15 +250,25 @@ fragment("inbound_a", inbound_month_sql(*HALVES[0]))
 fragment("inbound_b", inbound_month_sql(*HALVES[1]))
 
 
-def inbound_half(t, start, end):
-    return db.inbound_month(
-        t.recommendations, t.interactions, t.purchase_orders, t.package_prices, t.front_book, start=start, end=end
-    ).select(*[c for c in INBOUND_COLUMNS if c not in ("city", "addr1", "tenure_class")])
+INBOUND_OWN = [c for c in INBOUND_COLUMNS if c not in ("city", "addr1", "tenure_class")]
+
+
+def inbound_tables(t):
+    return t.recommendations, t.interactions, t.purchase_orders, t.package_prices, t.front_book
 
 
 @query("inbound_month", "SELECT * FROM inbound_b")
 def _(t):
-    return at.enrich_city_tenure(inbound_half(t, *HALVES[1]), t.csr)
+    start, end = HALVES[1]
+    return at.enrich_city_tenure(db.inbound_month(*inbound_tables(t), start=start, end=end).select(*INBOUND_OWN), t.csr)
+
+
+@query(
+    "inbound_periods",
+    f"SELECT 0 AS period, {', '.join(INBOUND_OWN)} FROM inbound_a UNION ALL SELECT 1, {', '.join(INBOUND_OWN)} FROM inbound_b",
+)
+def _(t):
+    return db.inbound_periods(*inbound_tables(t), periods=HALVES).select("period", *INBOUND_OWN)
 
 
 fragment(
@@ -291,11 +300,10 @@ fragment(
 
 @query("inbound_performance", "SELECT * FROM inbound_result")
 def _(t):
-    # what the email channel won is read by both other channels
-    mail = cut(mail_credits(t))
+    mail = mail_credits(t)
     outbound = db.outbound_credits(db.outbound_outcomes(*outbound_tables(t, mail), **OUTBOUND_OPTIONS))
-    months = [inbound_half(t, *half) for half in HALVES]
-    out = db.inbound_performance(months, mail, outbound, t.csr)
+    inbound = db.inbound_periods(*inbound_tables(t), periods=HALVES).select("period", *INBOUND_OWN)
+    out = db.inbound_performance(inbound, mail, outbound, t.csr)
     return out.drop("mail_sent", "mail_month", "outbound_rec", "outbound_month")
 
 

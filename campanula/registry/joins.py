@@ -190,8 +190,8 @@ def _(t):
     offers = t.offers.withColumn("dvr", pr.has_dvr("stb"))
     wanted = F.col("delta_arpu") + 70
     dearer = F.when(F.col("dvr") == 1, F.col("price") + 5 > wanted).otherwise(F.col("price") > wanted)
-    same = F.col("recommendedpkg") == F.col("package_code")
-    joined = jn.theta_join(offers, prices, same, (F.col("discount") <= F.col("price")) & dearer, "left")
+    cheap = (F.col("discount") <= F.col("price")) & dearer
+    joined = jn.theta_join(offers, prices, {"recommendedpkg": "package_code"}, {"price": "price"}, cheap)
     return joined.select("account_no", "offer_id", "offer_rank", "recommendedpkg", "delta_arpu", "price")
 
 
@@ -262,8 +262,8 @@ def _(t):
 
 @query(
     "ratio_of_conditional_sums",
-    "SELECT coalesce(field_1, field_2) AS account, round(CAST(sum(CASE WHEN child_outcome = 'No contesta1' THEN 0 ELSE 1 END) AS DOUBLE)"
-    " / nullif(CAST(sum(CASE WHEN contact_id IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE), 0), 2) AS contact_rate FROM dialer_history GROUP BY 1",
+    "SELECT account, CASE WHEN den > 0 THEN ((200 * num + den) // (2 * den)) / 100 END AS contact_rate FROM (SELECT coalesce(field_1, field_2) AS account,"
+    " count(*) FILTER (child_outcome IS DISTINCT FROM 'No contesta1') AS num, count(contact_id) AS den FROM dialer_history GROUP BY 1)",
 )
 def _(t):
     return contact_rate(t.dialer_history)
@@ -279,7 +279,7 @@ def _(t):
     "SELECT account, lower(array_to_string(list_sort(list(category)), ',')) AS category FROM exclusions GROUP BY 1",
 )
 def _(t):
-    return gr.fold_strings(t.exclusions, ["account"], "category", "category")
+    return gr.fold_strings(t.exclusions, ["account"], "category", "category").drop("entries")
 
 
 @query(
@@ -380,13 +380,14 @@ def _(t):
 
 @query(
     "first_value_asc_desc",
-    "SELECT DISTINCT interaction_id, first_value(status) OVER (PARTITION BY interaction_id ORDER BY start_ts) AS first_status,"
-    " first_value(status) OVER (PARTITION BY interaction_id ORDER BY start_ts DESC) AS last_status FROM interactions",
+    "SELECT DISTINCT interaction_id, first_value(status) OVER (PARTITION BY interaction_id ORDER BY start_ts, status) AS first_status,"
+    " first_value(status) OVER (PARTITION BY interaction_id ORDER BY start_ts DESC, status DESC) AS last_status FROM interactions",
 )
 def _(t):
     # one pass, combined before the shuffle, instead of two window sorts
     return t.interactions.groupBy("interaction_id").agg(
-        F.min_by("status", "start_ts").alias("first_status"), F.max_by("status", "start_ts").alias("last_status")
+        F.min_by("status", F.struct("start_ts", "status")).alias("first_status"),
+        F.max_by("status", F.struct("start_ts", "status")).alias("last_status"),
     )
 
 
@@ -461,9 +462,7 @@ def _(t):
     " ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer) WHERE position <= 400 * 0.1",
 )
 def _(t):
-    best = rk.top_capacity(
-        t.customer, ["c_mktsegment"], [F.desc("c_acctbal"), F.asc("c_custkey")], "c_custkey", 400, 0.1
-    )
+    best = rk.top_capacity(t.customer, ["c_mktsegment"], [("c_acctbal", True), ("c_custkey", False)], 400, 0.1)
     return best.select("c_mktsegment", "c_custkey", "position")
 
 

@@ -52,18 +52,24 @@ def define_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def export_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
-    """Overwrite ``path`` with CSV and a header.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the cluster's checkpoint folder, else the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
-    By default every task writes its own part file.  ``single_file`` suits
-    small hand-over extracts only: it funnels the result through one task.
-    """
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
 
+def export_csv(df: DataFrame, path: str, *, single_file: bool = False, order: Sequence[Column] = ()) -> None:
+    """Overwrite the folder ``path`` with CSV and a header.
 
-def export_links(df: DataFrame, path: str, day: dt.date | str, *, link_ms: str = "link_ms", link: str = "link") -> None:
-    export_csv(links_for_day(df, day, link_ms=link_ms, link=link), path)
+    By default every task writes its own part file, and ``order`` makes the
+    parts' names follow the order of the rows.  ``single_file`` writes one
+    part, as hand-over extracts want it: the rows are sorted by all tasks, and
+    one task then writes the sorted ranges one after the other, with no more
+    than one of them at hand.  An empty frame gives a file with the header.
+    """
+    out = df.orderBy(*order) if order else df
+    out = out.coalesce(1) if single_file else out
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def links_for_day(offers: DataFrame, day: dt.date | str, *, link_ms: str = "link_ms", link: str = "link") -> DataFrame:

@@ -24,15 +24,16 @@ def test_lookup_with_hot_and_null_keys(spark, rows):
     want = {}
     for _, k, _, v in rows:
         want[k] = want.get(k, 0) + v
-    for options in ({"hot_rows": 100, "salts": 4}, {"hot_rows": 1, "hot_keys": 3}, {}):
+    for options in ({"hot_rows": 100}, {"hot_rows": 1}, {}):
         got = joining.lookup(df, dim, "k", **options).collect()
         assert len(got) == len(rows)
         assert all(r.total == (want[r.k] if r.k is None or r.k % 2 == 1 else None) for r in got)
 
 
-def test_rank_large_equals_row_number(spark, rows):
+@pytest.mark.parametrize("piece_rows", [1, 7, 100, 10_000])
+def test_rank_large_equals_row_number(spark, rows, piece_rows):
     df = spark.createDataFrame(rows, "id long, k int, g string, v int").withColumn("part", F.lit("x"))
-    got = ranking.rank_large(df, ["part"], [("g", False), ("v", True)], "id", "place", buckets=7)
+    got = ranking.rank_large(df, ["part"], [("g", False), ("v", True)], "id", "place", piece_rows=piece_rows)
     order = sorted(rows, key=lambda r: (r[2] is None, r[2] or "", -r[3], r[0]))
     want = {r[0]: i + 1 for i, r in enumerate(order)}
     assert {r.id: r.place for r in got.collect()} == want
@@ -40,7 +41,7 @@ def test_rank_large_equals_row_number(spark, rows):
 
 def test_top_capacity_equals_global_top(spark, rows):
     df = spark.createDataFrame(rows, "id long, k int, g string, v int").withColumn("part", F.lit("x"))
-    got = ranking.top_capacity(df, ["part"], [F.col("v").desc(), F.col("id").asc()], "id", 100, 0.1, salts=5).collect()
+    got = ranking.top_capacity(df, ["part"], [("v", True), ("id", False)], 100, 0.1, piece_rows=50).collect()
     want = [r[0] for r in sorted(rows, key=lambda r: (-r[3], r[0]))[:10]]
     assert [r.id for r in sorted(got, key=lambda r: r.position)] == want
 
