@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campanula.functions.dates import days_between
+from campanula.operators.sizing import SMALL_BYTES, is_small
 
 SHARE = 8192  # a key with more than this part of all rows is heavy, so there are fewer heavy keys than this
 HOT_ROWS = 100_000  # rows that any one place may hold, however few rows there are in all
@@ -51,6 +52,7 @@ def split_join(
     null_safe: bool = False,
     weights: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Equi join whose heavy keys are split over as many places as their weight asks for.
 
@@ -63,17 +65,29 @@ def split_join(
     makes NULL a key like any other.  ``weights`` (see :func:`key_weights`) may
     come from a cheaper table: they decide balance, never the result.  The
     list of heavy keys is sent to every executor; it has fewer than ``SHARE``
-    rows, since each stands for more than that part of the total.
+    rows, since each stands for more than that part of the total.  Where the
+    table the weights come from has at most ``small_bytes``, no key can be
+    heavy and the plain join is planned.
     """
     names = list(on)
     if weights is None:
         weights = key_weights(left, names, nulls=null_safe)
-    unit = F.greatest(weights.select(F.sum("_rows")).scalar() / SHARE, F.lit(hot_rows))
-    heavy = weights.where(F.col("_rows") > unit).withColumn("_places", F.ceil(F.col("_rows") / unit).cast("int")).drop("_rows")
+    side = right.select(
+        *[F.col(c).alias(f"_right{i}") for i, c in enumerate(on.values())], *[F.col(c).alias(n) for n, c in columns.items()]
+    )
 
     def same(a: Column, b: Column) -> Column:
         return a.eqNullSafe(b) if null_safe else a == b
 
+    meet = reduce(lambda a, b: a & b, [same(F.col(k), F.col(f"_right{i}")) for i, k in enumerate(names)])
+    if residual is not None:
+        meet = meet & residual
+    if is_small(weights, small_bytes):
+        return left.join(side, meet, how).select(*left.columns, *columns)
+
+    unit = F.greatest(weights.select(F.sum("_rows")).scalar() / SHARE, F.lit(hot_rows))
+    heavy = weights.where(F.col("_rows") > unit).withColumn("_places", F.ceil(F.col("_rows") / unit).cast("int")).drop("_rows")
+
     def matches(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
         return reduce(lambda a, b: a & b, [same(df[k], other[f"_key{i}"]) for i, k in enumerate(keys)])
 
@@ -85,16 +99,10 @@ def split_join(
     spread = left.join(F.broadcast(heavy), matches(left, heavy, names), "left")
     spread = spread.select(*[left[c] for c in left.columns], F.coalesce(salt, F.lit(0)).cast("int").alias("_salt"))
 
-    side = right.select(
-        *[F.col(c).alias(f"_right{i}") for i, c in enumerate(on.values())], *[F.col(c).alias(n) for n, c in columns.items()]
-    )
     side = side.join(F.broadcast(heavy), matches(side, heavy, [f"_right{i}" for i in range(len(on))]), "left")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_places"), F.lit(1)) - 1))
     side = side.withColumn("_right_salt", copies).drop("_places", *[f"_key{i}" for i in range(len(on))])
-    meet = F.col("_salt") == F.col("_right_salt")
-    for i, name in enumerate(names):
-        meet = meet & same(F.col(name), F.col(f"_right{i}"))
-    joined = spread.join(side, meet if residual is None else meet & residual, how)
+    joined = spread.join(side, meet & (F.col("_salt") == F.col("_right_salt")), how)
     return joined.select(*left.columns, *columns)
 
 
@@ -104,19 +112,19 @@ def role_join(
     dim_key: str,
     roles: Mapping[str, str],
     weights: Mapping[str, DataFrame] | None = None,
-    hot_rows: int = HOT_ROWS,
+    **sizes: int,
 ) -> DataFrame:
     """Join one dimension once per role, heavy and NULL keys split by weight.
 
     ``roles`` maps a column prefix to the key column of ``df``; the columns of
     the dimension arrive as ``<prefix>_<column>``.  ``weights`` may hold the
     weights of some roles; the others are counted in ``df`` as it is given,
-    one column each.
+    one column each.  ``sizes`` are those of :func:`split_join`.
     """
     weighed = {prefix: key_weights(df, [key]) for prefix, key in roles.items()} | dict(weights or {})
     for prefix, key in roles.items():
         columns = {f"{prefix}_{c}": c for c in dim.columns if c != dim_key}
-        df = split_join(df, dim, {key: dim_key}, columns, weights=weighed[prefix], hot_rows=hot_rows)
+        df = split_join(df, dim, {key: dim_key}, columns, weights=weighed[prefix], **sizes)
     return df
 
 
@@ -141,7 +149,7 @@ def intersect_ids(*frames: DataFrame, on: str) -> DataFrame:
     return reduce(lambda acc, f: semi(acc, f, on), rest, key_set(first, on))
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, *, weight: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, key: str, *, weight: str | None = None, **sizes: int) -> DataFrame:
     """Left join to a frame with one row per key when some keys are hot.
 
     NULL is a key like any other.  ``weight`` is a column of ``dim`` that holds
@@ -149,7 +157,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, *, weight: str | None = None
     """
     known = None if weight is None else dim.select(F.col(key).alias("_key0"), F.col(weight).alias("_rows"))
     columns = {c: c for c in dim.columns if c != key}
-    return split_join(df, dim, {key: key}, columns, null_safe=True, weights=known, hot_rows=hot_rows)
+    return split_join(df, dim, {key: key}, columns, null_safe=True, weights=known, **sizes)
 
 
 def interval_join(
@@ -230,7 +238,7 @@ def asof_forward(
 
 
 def any_key_lookup(
-    df: DataFrame, dim: DataFrame, keys: Sequence[str], dim_key: str, value: str, name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, dim: DataFrame, keys: Sequence[str], dim_key: str, value: str, name: str, **sizes: int
 ) -> DataFrame:
     """Left join on ``k1 = key OR k2 = key OR ...`` to a frame with unique keys.
 
@@ -240,7 +248,7 @@ def any_key_lookup(
     """
     roles = {f"_m{i}": k for i, k in enumerate(keys)}
     side = dim.select(F.col(dim_key), F.struct(F.col(dim_key), F.col(value)).alias("hit"))
-    found = role_join(df, side, dim_key, roles, hot_rows=hot_rows)
+    found = role_join(df, side, dim_key, roles, **sizes)
     hits = F.array_distinct(F.array_compact(F.array(*[F.col(f"{p}_hit") for p in roles])))
     return found.select(*[F.col(c) for c in df.columns], F.explode_outer(hits).alias("_hit")).select(
         *[F.col(c) for c in df.columns], F.col("_hit")[value].alias(name)
@@ -248,10 +256,10 @@ def any_key_lookup(
 
 
 def theta_join(
-    left: DataFrame, right: DataFrame, on: Mapping[str, str], columns: Mapping[str, str], residual: Column, how: str = "left", hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: Mapping[str, str], columns: Mapping[str, str], residual: Column, how: str = "left", **sizes: int
 ) -> DataFrame:
     """Equi join with a further condition kept inside the join, heavy keys split by weight."""
-    return split_join(left, right, on, columns, how=how, residual=residual, hot_rows=hot_rows)
+    return split_join(left, right, on, columns, how=how, residual=residual, **sizes)
 
 
 def successor(

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from campanula.operators.sizing import SMALL_BYTES, is_small
+
 
 def rank_within(df: DataFrame, partition: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``row_number`` for partitions that are small by nature (one account, one interaction)."""
@@ -65,6 +67,7 @@ def rank_large(
     name: str,
     piece_rows: int = PIECE_ROWS,
     measured: DataFrame | None = None,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """``row_number`` over partitions too large for one task.
 
@@ -76,8 +79,12 @@ def rank_large(
     which a piece starts; only the rows inside one piece are numbered together.
     Nothing is fetched and no job runs before the result is asked for.  The
     plan reads ``df`` for the counts and for the rows, and for the split points
-    unless ``measured`` names another frame with the tiebreak column.
+    unless ``measured`` names another frame with the tiebreak column.  Where
+    that frame has at most ``small_bytes``, one window does.
     """
+    if is_small(df if measured is None else measured, small_bytes):
+        whole = Window.partitionBy(*partition).orderBy(*[_directed(c, d) for c, d in order], F.col(tiebreak).asc())
+        return df.withColumn(name, F.row_number().over(whole))
     df = with_piece(df, tiebreak, piece_rows, measured)
     names = [c for c, _ in order]
     values, cells = [*partition, *names], [*partition, *names, "_piece"]

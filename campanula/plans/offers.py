@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from campanula.functions.rules import flag, value_map
 from campanula.operators.grouping import conditional_max
-from campanula.operators.joining import HOT_ROWS, split_join, successor
+from campanula.operators.joining import split_join, successor
 from campanula.plans.pricing import DVR_CHARGE, has_dvr
 
 # --- fixed values: video service of the profile -> name in the catalogue -----
@@ -199,7 +199,7 @@ def catalogue_prices(front_book: DataFrame) -> DataFrame:
     return reduced.select(*LINE_UP, "price_to", F.col("_package.speed").alias("speed_to"), F.col("_package.package_code").alias("package_to"))
 
 
-def bau_offer(profile: DataFrame, front_book: DataFrame, span: float = PRICE_SPAN, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bau_offer(profile: DataFrame, front_book: DataFrame, span: float = PRICE_SPAN, **sizes: int) -> DataFrame:
     """Cheapest catalogue package that keeps the line-up, is at least as fast
     and costs more than today (a recorder adds its charge to the new price).
     Of packages with that price, the fastest.
@@ -238,7 +238,7 @@ def bau_offer(profile: DataFrame, front_book: DataFrame, span: float = PRICE_SPA
     best = found.groupBy(*question).agg(F.min("_answer").alias("_best"))
 
     weights = questions.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(question)], "_rows")
-    chosen = split_join(customers, best, {c: c for c in question}, {"_best": "_best"}, how="inner", weights=weights, hot_rows=hot_rows)
+    chosen = split_join(customers, best, {c: c for c in question}, {"_best": "_best"}, how="inner", weights=weights, **sizes)
     return chosen.select(
         "account_no", "drop_kind", "package_from", "price_from", "speed_from",
         "_best.price_to", (-F.col("_best.slowness")).alias("speed_to"), "_best.package_to",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from campanula.functions.dates import ColumnOrName, as_col
 from campanula.functions.rules import bucket, flag
-from campanula.operators.joining import HOT_ROWS, key_weights, role_join
+from campanula.operators.joining import key_weights, role_join
 from campanula.operators.snapshot import latest_ties
 
 # --- fixed values -----------------------------------------------------------
@@ -85,7 +85,7 @@ def old_new_price(
     old_dvr: str = "old_dvr",
     new_dvr: str = "new_dvr",
     weights: tuple[DataFrame, DataFrame] | None = None,
-    hot_rows: int = HOT_ROWS,
+    **sizes: int,
 ) -> DataFrame:
     """Add old and new price; a recorder adds its charge to catalogue packages.
 
@@ -97,7 +97,7 @@ def old_new_price(
     listed = front_book.select("package_code").distinct().withColumn("listed", F.lit(1))
     dim = prices.select("package_code", "price").join(listed, "package_code", "full_outer")
     known = dict(zip(("_old", "_new"), weights, strict=True)) if weights else None
-    priced = role_join(df, dim, "package_code", {"_old": old_code, "_new": new_code}, known, hot_rows)
+    priced = role_join(df, dim, "package_code", {"_old": old_code, "_new": new_code}, known, **sizes)
 
     def price(role: str, dvr: str) -> Column:
         extra = F.when((F.col(dvr) == 1) & F.col(f"{role}_listed").isNotNull(), DVR_CHARGE).otherwise(0)

@@ -24,7 +24,7 @@ def test_lookup_with_hot_and_null_keys(spark, rows):
     want = {}
     for _, k, _, v in rows:
         want[k] = want.get(k, 0) + v
-    for options in ({"hot_rows": 100}, {"hot_rows": 1}, {}):
+    for options in ({"hot_rows": 100, "small_bytes": 0}, {"hot_rows": 1, "small_bytes": 0}, {}):
         got = joining.lookup(df, dim, "k", **options).collect()
         assert len(got) == len(rows)
         assert all(r.total == (want[r.k] if r.k is None or r.k % 2 == 1 else None) for r in got)
@@ -33,7 +33,7 @@ def test_lookup_with_hot_and_null_keys(spark, rows):
 @pytest.mark.parametrize("piece_rows", [1, 7, 100, 10_000])
 def test_rank_large_equals_row_number(spark, rows, piece_rows):
     df = spark.createDataFrame(rows, "id long, k int, g string, v int").withColumn("part", F.lit("x"))
-    got = ranking.rank_large(df, ["part"], [("g", False), ("v", True)], "id", "place", piece_rows=piece_rows)
+    got = ranking.rank_large(df, ["part"], [("g", False), ("v", True)], "id", "place", piece_rows=piece_rows, small_bytes=0)
     order = sorted(rows, key=lambda r: (r[2] is None, r[2] or "", -r[3], r[0]))
     want = {r[0]: i + 1 for i, r in enumerate(order)}
     assert {r.id: r.place for r in got.collect()} == want
