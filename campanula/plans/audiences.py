@@ -273,7 +273,8 @@ def converted_on(snapshot: DataFrame, orders: DataFrame, day: dt.date | str) ->
 
 
 def call_outcome(feedback: DataFrame, as_of: dt.date | str, days: int, outcome: Column, key: str = KEY) -> DataFrame:
-    """Accounts called in the last ``days`` days with a given outcome."""
+    """Accounts called in the last ``days`` days with a given outcome: a flag of
+    the feedback, or a condition on its text.  An unknown outcome is none."""
     recent = feedback.where((F.col("call_date") >= F.date_sub(to_date_lit(as_of), days)) & outcome)
     return recent.select(key).distinct()
 

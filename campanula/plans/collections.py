@@ -117,6 +117,9 @@ def technology() -> Column:
     )
 
 
+CONTACTS = ("phone_1", "phone_2", "phone_3", "email")
+
+
 def delinquency_base(dna: DataFrame, as_of: dt.date | str, adjust_days: int = 0) -> DataFrame:
     """Residential accounts of the newest snapshot that are -3 to 90 days
     overdue on ``as_of``, with amounts and dates worked out."""
@@ -138,6 +141,7 @@ def delinquency_base(dna: DataFrame, as_of: dt.date | str, adjust_days: int = 0)
         (F.col("outstanding_age") - F.col("overdue_age")).alias("payment_terms"),
         (overdue + adjust_days).alias("days_overdue"),
         F.coalesce("paid_m0", "paid_m1", "paid_m2", "paid_m3").alias("last_payment"),
+        *CONTACTS,
         next_due.alias("next_due"),
         open_invoice.alias("open_invoice"),
         F.round(F.when(next_due <= F.col("snapshot"), amount).otherwise(amount - open_invoice), 2).alias("overdue_amount"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from campanula.functions.dates import parse_date
@@ -149,24 +150,27 @@ def _(t):
     return au.converted_on(latest_snapshot(t.csr, "as_of"), t.orders_activity, "2024-01-20")
 
 
-def _call_outcome(name: str, days: int, pattern: str) -> None:
+def _call_outcome(name: str, days: int, outcome: Column, condition: str) -> None:
     @query(
         f"audience_{name}",
         f"SELECT DISTINCT CAST(cuenta AS BIGINT) AS account_no FROM call_feedback WHERE dial_text <> '' AND"
-        f" CAST(strptime(CASE WHEN dial_text = '' THEN '1/1/1900' ELSE dial_text END, '%m/%d/%Y') AS DATE) >= {AS_OF_SQL} - {days} AND disposition = '{pattern}'",
+        f" CAST(strptime(CASE WHEN dial_text = '' THEN '1/1/1900' ELSE dial_text END, '%m/%d/%Y') AS DATE) >= {AS_OF_SQL} - {days} AND {condition}",
     )
     def _(t):
         calls = t.call_feedback.where(F.col("dial_text") != "").select(
             F.col("cuenta").cast("bigint").alias("account_no"),
             parse_date("dial_text", "M/d/yyyy").alias("call_date"),
             "disposition",
+            "not_offered",
+            "not_attended",
         )
-        return au.call_outcome(calls, AS_OF, days, F.col("disposition") == pattern)
+        return au.call_outcome(calls, AS_OF, days, outcome)
 
 
-_call_outcome("call_not_offered_15d", 15, "Cliente no acepta")
-_call_outcome("call_not_offered_30d", 30, "Cliente no acepta")
-_call_outcome("call_not_attended_15d", 15, "No contesta")
+_call_outcome("call_not_offered_15d", 15, F.col("not_offered"), "not_offered = true")
+_call_outcome("call_not_offered_30d", 30, F.col("not_offered"), "not_offered = true")
+_call_outcome("call_not_attended_15d", 15, F.col("not_attended"), "not_attended = true")
+_call_outcome("call_refused_15d", 15, F.col("disposition") == "Cliente no acepta", "disposition = 'Cliente no acepta'")
 
 
 @query(

@@ -14,7 +14,7 @@ fragment(
  CASE WHEN bb_media IN ('FTTH', 'HFC') THEN bb_media WHEN bb_media IS NULL AND tv_media IN ('FTTH', 'HFC') THEN tv_media
  WHEN bb_media IS NULL AND tv_media IS NULL AND vo_media IN ('FTTH', 'HFC') THEN vo_media ELSE 'Copper' END AS technology,
  outstanding_age - overdue_age AS payment_terms, CAST({AS_OF_SQL} - CAST(dt AS DATE) + overdue_age AS INT) AS days_overdue,
- coalesce(paid_m0, paid_m1, paid_m2, paid_m3) AS last_payment, next_due, open_invoice,
+ coalesce(paid_m0, paid_m1, paid_m2, paid_m3) AS last_payment, phone_1, phone_2, phone_3, email, next_due, open_invoice,
  round(CASE WHEN next_due <= CAST(dt AS DATE) THEN outstanding_amount ELSE outstanding_amount - open_invoice END, 2) AS overdue_amount,
  outstanding_amount AS total_amount, CAST(dt AS DATE) - outstanding_age AS oldest_invoice, CAST(dt AS DATE) - overdue_age AS oldest_due,
  coalesce(bb_product, tv_product, vo_product) AS plan FROM (SELECT *, CASE WHEN due_m0 IS NULL AND due_m1 < CAST(dt AS DATE) THEN due_m1 ELSE due_m0 END AS next_due,
@@ -285,7 +285,8 @@ def _(t):
 
 
 RESULT = (
-    f"SELECT account, customer_group, check_phone, tier, rank, {NOTICE} AS notification, {CHANNEL} AS contact_channel, {AS_OF_SQL} AS run_date FROM placed"
+    f"SELECT account, customer_group, check_phone, tier, rank, phone_1, phone_2, phone_3, email, {NOTICE} AS notification, {CHANNEL} AS contact_channel,"
+    f" {AS_OF_SQL} AS run_date FROM placed"
 )
 fragment("campaign_result", RESULT)
 
@@ -294,7 +295,7 @@ fragment("campaign_result", RESULT)
 def _(t):
     out = co.campaign(sources(t), AS_OF, agent_capacity=CAPACITY, candidate_capacity=20)
     return out.select(
-        "account", "customer_group", "check_phone", "tier", "rank", "notification", "contact_channel", "run_date"
+        "account", "customer_group", "check_phone", "tier", "rank", *co.CONTACTS, "notification", "contact_channel", "run_date"
     )
 
 

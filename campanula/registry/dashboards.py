@@ -344,7 +344,8 @@ def _(t):
 @query(
     "conversion_outcome",
     "WITH s AS (SELECT c.*, CASE WHEN account_no % 4 = 0 THEN NULL ELSE CAST(account_no % 2 AS INT) END AS prior_to_sent, CAST(CASE WHEN account_no % 3 = 0 THEN 1 ELSE 0 END AS INT)"
-    " AS prior_to_call, 1 AS migrated, 1 AS call_after_rec, rec_month AS call_date, CAST(account_no % 7 - 3 AS DOUBLE) AS price_dif FROM credited c)"
+    " AS prior_to_call, CAST(CASE WHEN account_no % 5 = 0 THEN 0 ELSE 1 END AS INT) AS migrated,"
+    " CAST(CASE WHEN account_no % 11 < 2 THEN 0 ELSE 1 END AS INT) AS call_after_rec, CASE WHEN account_no % 13 <> 0 THEN rec_month END AS call_date, CAST(account_no % 7 - 3 AS DOUBLE) AS price_dif FROM credited c)"
     f" SELECT account_no, CASE WHEN call_date IS NOT NULL AND {CLEAN} THEN 1 ELSE 0 END AS contacted,"
     f" CASE WHEN migrated = 1 AND price_dif > 0 AND call_after_rec = 1 AND {CLEAN} THEN 1 ELSE 0 END AS converted,"
     f" CASE WHEN migrated = 1 AND price_dif < 0 AND call_after_rec = 1 AND {CLEAN} THEN 1 ELSE 0 END AS converted_downgrade FROM s",
@@ -355,9 +356,9 @@ def _(t):
         {
             "prior_to_sent": F.when(account % 4 != 0, (account % 2).cast("int")),
             "prior_to_call": F.when(account % 3 == 0, 1).otherwise(0),
-            "migrated": F.lit(1),
-            "call_after_rec": F.lit(1),
-            "call_date": F.col("rec_month"),
+            "migrated": F.when(account % 5 == 0, 0).otherwise(1),
+            "call_after_rec": F.when(account % 11 < 2, 0).otherwise(1),
+            "call_date": F.when(account % 13 != 0, F.col("rec_month")),
             "price_dif": (account % 7 - 3).cast("double"),
         }
     )

@@ -296,6 +296,8 @@ LOGICAL: dict[str, Logical] = {
             "disposition": "CASE event_id % 4 WHEN 0 THEN 'Ofitizado cliente SI acepta' WHEN 1 THEN 'Ofiti - Cliente acepta'"
             " WHEN 2 THEN 'No contesta' ELSE 'Cliente no acepta' END",
             "comments": "CASE WHEN event_id % 2 = 0 THEN 'c' || CAST(event_id % 100 AS STRING) END",
+            "not_offered": "CASE WHEN event_id % 9 <> 0 THEN event_id % 5 < 2 END",
+            "not_attended": "CASE WHEN event_id % 8 <> 0 THEN event_id % 4 = 2 OR event_id % 7 = 0 END",
         },
     ),
     "comms_history": Logical(
@@ -385,6 +387,10 @@ LOGICAL: dict[str, Logical] = {
             "customer_type": "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Comercial' ELSE 'Residencial' END",
             "mix": "CASE WHEN c_custkey % 12 = 0 THEN '0P' ELSE CAST(1 + c_custkey % 3 AS STRING) || 'P' END",
             "customer_name": "CASE WHEN c_custkey % 29 <> 0 THEN c_name END",
+            "phone_1": "CASE WHEN c_custkey % 6 <> 0 THEN CAST(60000000 + c_custkey * 31 % 9999991 AS STRING) END",
+            "phone_2": "CASE WHEN c_custkey % 4 = 1 THEN CAST(50000000 + c_custkey * 37 % 9999991 AS STRING) END",
+            "phone_3": "CASE WHEN c_custkey % 10 = 3 THEN CAST(40000000 + c_custkey * 41 % 9999991 AS STRING) END",
+            "email": "CASE WHEN c_custkey % 7 <> 0 THEN lower(c_mktsegment) || CAST(c_custkey AS STRING) || '@example.com' END",
             "account_status": "CASE c_custkey % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'D' WHEN 2 THEN 'TFS' ELSE 'A' END",
             "cycle": "CASE c_custkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END",
             "outstanding_age": "CAST(c_custkey % 97 + 16 AS INT)",
