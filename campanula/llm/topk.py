@@ -71,19 +71,19 @@ class Best:
         self.scores[rows], self.ids[rows], self.filled[rows] = pick(s), pick(i), pick(f)
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: Best) -> None:
-    """Offer ``vectors`` to all queries, block by block, the most promising block first."""
+def search(query_rows: np.ndarray, queries: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: Best) -> None:
+    """Offer ``vectors`` to all queries but the one of the same row, block by block, the most promising block first."""
     alike = np.argmax(np.abs(vectors), axis=1) if vectors.size else np.zeros(len(ids), int)
     sign = vectors[np.arange(len(ids)), alike] > 0 if vectors.size else np.zeros(len(ids), bool)
     order = np.lexsort((ids, sign, alike))
-    ids, vectors = ids[order], vectors[order]
+    rows_of, ids, vectors = rows_of[order], ids[order], vectors[order]
     starts = np.arange(0, len(ids), BLOCK)
     high = np.maximum.reduceat(vectors, starts, axis=0)
     low = np.minimum.reduceat(vectors, starts, axis=0)
     bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
     bounds *= 1 + 1e-12 * np.sign(bounds)  # rounding must not lower a bound
     ranked = np.argsort(-bounds, axis=1, kind="stable")
-    going = np.arange(len(query_ids))
+    going = np.arange(len(query_rows))
     for step in range(len(starts)):
         block = ranked[going, step]
         alive = bounds[going, block] >= best.kth()[going]
@@ -93,31 +93,31 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
         by_block = np.argsort(block, kind="stable")
         for rows in np.split(going[by_block], np.flatnonzero(np.diff(block[by_block])) + 1):
             a = starts[ranked[rows[0], step]]
-            some = ids[a : a + BLOCK]
-            best.take(rows, _products(queries[rows], vectors[a : a + BLOCK]), some, query_ids[rows, None] != some[None, :])
+            others = query_rows[rows, None] != rows_of[None, a : a + BLOCK]
+            best.take(rows, _products(queries[rows], vectors[a : a + BLOCK]), ids[a : a + BLOCK], others)
 
 
 def _task(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
-    query_ids, queries = sent.value
-    best, held, rows = Best(len(query_ids), k), [], 0
+    query_rows, query_ids, queries = sent.value
+    best, held, rows = Best(len(query_rows), k), [], 0
 
     def flush() -> None:
         nonlocal held, rows
         if rows:
-            ids = np.concatenate([h[0] for h in held])
-            search(query_ids, queries, ids, np.concatenate([h[1] for h in held]), best)
+            search(query_rows, queries, *(np.concatenate(part) for part in zip(*held, strict=True)), best)
         held, rows = [], 0
 
     for batch in batches:
         for at in range(0, batch.num_rows, HELD):
             some = batch.slice(at, HELD)
-            held.append((some.column(0).to_numpy(), _matrix(some.column(1), queries.shape[1])))
+            held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), _matrix(some.column(2), queries.shape[1])))
             rows += some.num_rows
             if rows >= HELD:
                 flush()
     flush()
     q, place = np.nonzero(best.filled)
-    yield pa.record_batch([pa.array(query_ids[q]), pa.array(best.ids[q, place]), pa.array(best.scores[q, place])], names=["query_id", "vec_id", "score"])
+    columns = {"query_row": query_rows[q], "query_id": query_ids[q], "vec_id": best.ids[q, place], "score": best.scores[q, place]}
+    yield pa.record_batch([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def whole(vector: Column, scale: int) -> Column:
@@ -130,19 +130,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 256, id
     ``is_query`` is a condition on the column ``id``.
 
     Components become floor(scale * x). Rows without id or vector, or with a null or
-    non-finite component, take no part. Rows of one id count as one, with the greatest
-    of their vectors. Shorter vectors end in zeros; a query's own length is what counts.
+    non-finite component, take no part. Every other row is a candidate for every query
+    but itself: rows that share an id stand for themselves, and a query id that several
+    rows have gets the results of each. Shorter vectors end in zeros; a query's own length is what counts.
     """
     usable = F.col(id_col).isNotNull() & F.coalesce(F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     clean = vectors.filter(usable).select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v"))
-    clean = cut(clean.groupBy("id").agg(F.max("v").alias("v")))
+    clean = cut(clean.select(F.monotonically_increasing_id().alias("row"), "id", "v"))
     spark, found = vectors.sparkSession, None
     wanted = clean.filter(is_query)
 
     def run(block: list) -> DataFrame:
-        ids = np.array([r["id"] for r in block], np.int64)
-        sent = spark.sparkContext.broadcast((ids, _matrix(pa.array([r["v"] for r in block], pa.list_(pa.float64())))))
-        return clean.mapInArrow(partial(_task, sent=sent, k=k), "query_id long, vec_id long, score long")
+        rows, ids = (np.array([r[c] for r in block], np.int64) for c in ("row", "id"))
+        sent = spark.sparkContext.broadcast((rows, ids, _matrix(pa.array([r["v"] for r in block], pa.list_(pa.float64())))))
+        return clean.mapInArrow(partial(_task, sent=sent, k=k), "query_row long, query_id long, vec_id long, score long")
 
     block: list = []
     for row in wanted.toLocalIterator():
@@ -151,7 +152,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 256, id
             found, block = run(block) if found is None else found.union(run(block)), []
     if block or found is None:
         found = run(block) if found is None else found.union(run(block))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
