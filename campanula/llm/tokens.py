@@ -1,29 +1,17 @@
-"""Token ids of whole texts with a public tokenizer file, by remembered units.
+"""Token ids of whole texts with a public tokenizer file.
 
-A byte-level tokenizer cuts a text before every run of white space that follows other
-characters, whatever stands around it. Units between such places therefore have ids of
-their own; the tokenizer sees each different unit once per task process, and a text's
-ids are its units' ids in order.
+The merges of a byte-level vocabulary are ranked by the ids they make, so the file's
+vocabulary is at the same time the rank table of the quicker of the two installed
+engines. It works on one text at a time and keeps nothing between texts. What it refuses,
+such as very long runs of white space, goes to the file's own tokenizer.
 """
 
 from __future__ import annotations
 
-import os
-import re
+import json
 from functools import cache
 
 import numpy as np
-import regex
-
-#: Units remembered per process; beyond it the memory starts anew.
-REMEMBERED = 600_000
-#: New units that one call to the tokenizer works on.
-LEARNED = 4096
-
-#: Characters on whose being white space regular expression engines differ.
-_UNSURE = re.compile("[\x1c-\x1f\x85᠎​]")
-_DOUBLE = re.compile(r"\s[ \n]|^[ \n]")
-_UNITS = re.compile(r"\s*\S+|\s+")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,60 +39,37 @@ def byte_letters() -> str:
     return "".join(chr(b if b in printable else next(others)) for b in range(256))
 
 
-class Encoder:
-    """Texts to little-endian unsigned 32-bit ids.
+def rank_table(path: str) -> dict[bytes, int]:
+    """Bytes of each token with its id, which is its rank; special tokens left out."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    vocab, special = given["model"]["vocab"], {t["content"] for t in given["added_tokens"]}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in given["model"]["merges"]]
+    if given["pre_tokenizer"]["type"] != "ByteLevel" or given["pre_tokenizer"]["add_prefix_space"] or given["normalizer"] or made != sorted(made):
+        raise ValueError(f"{path} is not a byte-level vocabulary whose ids rank its merges")
+    byte = {letter: bytes([b]) for b, letter in enumerate(byte_letters())}
+    return {b"".join(byte[c] for c in token): rank for token, rank in vocab.items() if token not in special}
 
-    A unit is cut by the tokenizer's own pattern; the pieces go to its merge model many
-    at a time, one piece a line (no byte is written as a line feed).
-    """
+
+class Encoder:
+    """Texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
-        from tokenizers import pre_tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model = load_tokenizer(path)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.memory: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
-
-    def _learn(self, units: list[str]) -> None:
-        cut = [self.pieces(u) for u in units]
-        new = list(set().union(*cut).difference(self.of_piece))
-        if new:
-            lines = "\n".join(p.encode().decode("latin-1").translate(self.letters) for p in new)
-            found = self.model.encode(lines, add_special_tokens=False)
-            raw = np.array(found.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(new)), "right").tolist()
-            at = 0
-            for piece, end in zip(new, ends, strict=True):
-                self.of_piece[piece] = raw[4 * at : 4 * end]
-                at = end
-        get = self.of_piece.__getitem__
-        for unit, parts in zip(units, cut, strict=True):
-            self.memory[unit] = b"".join(map(get, parts))
-
-    def _units(self, text: str) -> list[str]:
-        if _UNSURE.search(text):
-            return [text]
-        if _DOUBLE.search(text):
-            return _UNITS.findall(text)
-        # white space stands singly here: a blank opens a unit, so does a line feed
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(u if u[:1] == "\n" else " " + u for u in rest)]
+        import tiktoken
+
+        self.path, self.slow = path, None
+        self.quick = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank_table(path), special_tokens={})
+
+    def _ids(self, text: str) -> bytes:
+        try:
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # a run too long for the engine's pattern matching
+            self.slow = self.slow or load_tokenizer(self.path)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-            self.of_piece.clear()
-        units = [self._units(t) if t else [] for t in texts]
-        new = list(set().union(*units).difference(self.memory))
-        for at in range(0, len(new), LEARNED):
-            self._learn(new[at : at + LEARNED])
-        get = self.memory.__getitem__
-        return [b"".join(map(get, us)) for us in units]
+        return [self._ids(t) if t else b"" for t in texts]
 
 
 @cache
