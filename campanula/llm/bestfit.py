@@ -1,13 +1,15 @@
-"""Best-fit packing of token pieces, in bulk-synchronous sweeps over sizes.
-
-Pieces have at most ``CAPACITY`` tokens, and so have gaps: equal sizes form a run, and a
-run is a count. The runs of documents (at most ``CAPACITY`` of them, whatever the number
-of rows) are range-sorted by size; every super-step sweeps one size against the gaps,
-from the smallest gap that fits (its successor) upwards. Pieces of a run compete for
-gaps by their rank: ranks r to r + n - 1 take the next n places, so conflicts are settled
-without looking at a row. Gaps shrink, and the next step begins. What a step decides is a
-``Flow``: which ranks of a size go to which sequences. Rows are ranked in parallel (a
-count per size and part, then running sums over parts) and look up their flow.
+"""Best-fit packing of token pieces, by counts of sizes.
+
+Pieces have at most ``CAPACITY`` tokens, and so have gaps, so equal sizes form a run and a
+run is a count: at most ``CAPACITY`` numbers, whatever the number of rows. Sizes are taken
+in descending order; each is swept against the gaps, from the smallest gap that fits (its
+successor) upwards. Pieces of a run compete for gaps by their rank: ranks r to r + n - 1
+take the next n places. What a sweep decides is a ``Flow``: which ranks of a size go to
+which sequences. Rows are ranked in parallel (a count per size and part, then running
+sums over parts) and look up their flow.
+
+The sweeps run over these counts in one place, not as distributed rounds over rows: the
+README says why.
 """
 
 from __future__ import annotations

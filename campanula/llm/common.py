@@ -14,10 +14,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a session without one gets a folder of its own (tests)."""
+    """The session's checkpoint folder; a local session without one gets a folder of its own (tests).
+
+    On a cluster a folder of one machine would lose rows, so one must be named there.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="campanula-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
