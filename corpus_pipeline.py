@@ -14,22 +14,27 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose posterior quality is good enough; empty and null texts are rejected by the base rules."""
     return quality.filter_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each SimHash component; documents without words share one component."""
     return simhash.keep_one(docs, radius=simhash.RADIUS, shingle=simhash.SHINGLE)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in place; null texts stay null and every row stays."""
     return secrets.mask(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each leaf's share by the target weights; a leaf's last document may be cut to its prefix."""
     return mixing.mix(docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left; one row per piece, null texts as the closing id alone."""
     return bestfit.pack(docs)
 
 
