@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def _(t):
     return au.converted_on(latest_snapshot(t.csr, "as_of"), t.orders_activity, "2024-01-20")
 
 
-def _call_outcome(name: str, days: int, outcome: Column, condition: str) -> None:
+def _call_outcome(name: str, days: int, outcome: Callable[[], Column], condition: str) -> None:
     @query(
         f"audience_{name}",
         f"SELECT DISTINCT CAST(cuenta AS BIGINT) AS account_no FROM call_feedback WHERE dial_text <> '' AND"
@@ -164,13 +166,13 @@ def _call_outcome(name: str, days: int, outcome: Column, condition: str) -> None
             "not_offered",
             "not_attended",
         )
-        return au.call_outcome(calls, AS_OF, days, outcome)
+        return au.call_outcome(calls, AS_OF, days, outcome())
 
 
-_call_outcome("call_not_offered_15d", 15, F.col("not_offered"), "not_offered = true")
-_call_outcome("call_not_offered_30d", 30, F.col("not_offered"), "not_offered = true")
-_call_outcome("call_not_attended_15d", 15, F.col("not_attended"), "not_attended = true")
-_call_outcome("call_refused_15d", 15, F.col("disposition") == "Cliente no acepta", "disposition = 'Cliente no acepta'")
+_call_outcome("call_not_offered_15d", 15, lambda: F.col("not_offered"), "not_offered = true")
+_call_outcome("call_not_offered_30d", 30, lambda: F.col("not_offered"), "not_offered = true")
+_call_outcome("call_not_attended_15d", 15, lambda: F.col("not_attended"), "not_attended = true")
+_call_outcome("call_refused_15d", 15, lambda: F.col("disposition") == "Cliente no acepta", "disposition = 'Cliente no acepta'")
 
 
 @query(
