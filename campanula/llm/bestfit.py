@@ -1,27 +1,32 @@
-"""Best-fit packing of token pieces, by counts of sizes.
-
-Pieces have at most ``CAPACITY`` tokens, and so have gaps, so equal sizes form a run and a
-run is a count: at most ``CAPACITY`` numbers, whatever the number of rows. Sizes are taken
-in descending order; each is swept against the gaps, from the smallest gap that fits (its
-successor) upwards. Pieces of a run compete for gaps by their rank: ranks r to r + n - 1
-take the next n places. What a sweep decides is a ``Flow``: which ranks of a size go to
-which sequences. Rows are ranked in parallel (a count per size and part, then running
-sums over parts) and look up their flow.
-
-The sweeps run over these counts in one place, not as distributed rounds over rows: the
-README says why.
+"""Bulk-synchronous best-fit packing of token pieces.
+
+Pieces and gaps (sequences with room left) are rows and stay rows. Sizes are taken class
+by class, the largest first. A round of a class is one sweep: gaps and unplaced pieces
+are range-sorted along the line of sizes, descending; every partition walks its stretch
+and gives each piece the nearest gap above it that is still free, its successor. Pieces
+compete for gaps by rank, that is by their place on the line. What a stretch could not
+match is carried over: pieces left over take the gaps that the stretches before them left,
+nearest first, by counts per partition. Then the gaps are updated, and the next round
+starts. When no gap takes even the least piece left of the class, as many new sequences
+open as those pieces need in any case.
+
+A gap much larger than the class offers several places at once, so that a class takes a
+few rounds only. Equal sizes are ordered by piece or sequence number too, so that a size
+which most rows share is spread over partitions. The state after a round is written to
+the checkpoint folder; a lost task repeats its own round only, with the same result.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -34,7 +39,13 @@ END = 0
 #: Texts that the encoder gets at once.
 TEXTS = 256
 
-PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, part int, rank long"
+PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, number long"
+#: Numbers of pieces by task: task * PER_TASK + count.
+PER_TASK = 1 << 40
+
+#: What a row of a sweep's outcome is: a piece with its sequence, a piece or a gap left over.
+PLACED, PIECE_LEFT, GAP_LEFT = 0, 1, 2
+SWEPT = "what int, part int, id long, size int, at long, places long"
 
 
 def pieces_of(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -44,98 +55,195 @@ def pieces_of(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _cut_up(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) to pieces; ``rank`` counts pieces of one length within the task."""
-    encode, part, seen = encoder(path).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
+    """Rows (id, text) to pieces; ``number`` tells all pieces apart."""
+    encode, number = encoder(path).encode, TaskContext.get().partitionId() * PER_TASK
     end = END.to_bytes(4, "little")
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
             some = batch.slice(at, TEXTS)
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(5)]
             take: list[int] = []
             for i, ids in enumerate(encode(some.column(1).to_pylist())):
                 ids += end
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     take.append(i)
-                    row = (k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length])
-                    seen[length] += 1
-                    for column, value in zip(rows, row, strict=False):
+                    row = (k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), number)
+                    number += 1
+                    for column, value in zip(rows, row, strict=True):
                         column.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch(
-                [some.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=False))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
+                [some.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "number"],
             )
 
 
-def sweeps(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over runs: flows (length, first rank, ranks, first sequence, per sequence, offset).
+class Rest(NamedTuple):
+    """Pieces still without a sequence: their number, least size and a bound of their largest size."""
+
+    n: int
+    least: int
+    most: int
+
+
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """Classes of sizes (largest, least), descending: by how many pieces fill a sequence."""
+    tops, share = [], 1
+    while capacity // share:
+        tops.append(capacity // share)
+        share = share + max(1, share // 3) if share < 32 else 2 * share
+    tops = sorted(set(tops), reverse=True)
+    return [(top, low + 1) for top, low in zip(tops, [*tops[1:], 0], strict=True)]
+
 
-    Rank r of a flow's length goes to sequence ``first + (r - rank) // per``, at
-    ``offset + (r - rank) % per * length``.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One stretch of the line, rows (size, places, id): a piece has no places.
+
+    Free gaps stand on a stack, the smallest on top. A piece takes a place of the top one;
+    without any it is left over, numbered in ``at``. Gaps left over have in ``at`` the
+    number of places below them on the stack.
     """
-    flows: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of the gap: runs (first sequence, number of them)
-    sizes: list[int] = []  # ascending
-    opened = 0
-
-    def add(size: int, first: int, number: int) -> None:
-        if size and number:
-            if size not in gaps:
-                bisect.insort(sizes, size)
-                gaps[size] = []
-            gaps[size].append((first, number))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, number = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size], sizes[at]
+    part = TaskContext.get().partitionId()
+    stack: list[list[int]] = []  # sequence, room, free places
+    left = 0
+
+    def out(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+        what, ids, sizes, at, places = zip(*rows, strict=True) if rows else ((),) * 5
+        columns = [(what, pa.int32()), ([part] * len(rows), pa.int32()), (ids, pa.int64()), (sizes, pa.int32()), (at, pa.int64()), (places, pa.int64())]
+        return pa.record_batch([pa.array(c, t) for c, t in columns], names=["what", "part", "id", "size", "at", "places"])
+
+    for batch in batches:
+        rows = []
+        for size, places, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if places:
+                stack.append([number, size, places])
+            elif stack:
+                rows.append((PLACED, number, size, stack[-1][0], 0))
+                stack[-1][2] -= 1
+                if not stack[-1][2]:
+                    stack.pop()
             else:
-                size, first = capacity, opened
-                number = -(-left // (capacity // length))
-                opened += number
-            per = size // length
-            full = min(number, left // per)
-            if full:
-                flows.append((length, rank, full * per, first, per, capacity - size))
-                add(size - per * length, first, full)
-                rank, left = rank + full * per, left - full * per
-            if full < number:
-                if left:  # fewer than ``per`` pieces are left: one sequence takes them
-                    flows.append((length, rank, left, first + full, left, capacity - size))
-                    add(size - left * length, first + full, 1)
-                    full, left = full + 1, 0
-                add(size, first + full, number - full)
-    return flows
+                rows.append((PIECE_LEFT, number, size, left, 0))
+                left += 1
+        yield out(rows)
+    below = 0
+    for first in range(0, len(stack), 10_000):
+        rows = []
+        for number, size, places in stack[first : first + 10_000]:
+            rows.append((GAP_LEFT, number, size, below, places))
+            below += places
+        yield out(rows)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces that have length, part and rank within both.
+def carry_over(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Which leftovers meet, from (part, pieces, places) by part: (part, first piece, pieces, part of the gaps, top).
 
-    Only counts per length reach the driver, at most ``capacity`` numbers; the flows are
-    as bounded and are broadcast.
+    Piece ``first + k`` takes place ``top - 1 - k``. There are fewer than twice as many
+    rows as parts, whatever the number of pieces.
     """
+    met, stack = [], []
+    for part, pieces, places in sorted(left):
+        first = 0
+        while first < pieces and stack:
+            other, top = stack.pop()
+            n = min(top, pieces - first)
+            met.append((part, first, n, other, top))
+            first += n
+            if top > n:
+                stack.append((other, top - n))
+        if places:
+            stack.append((part, places))
+    return met
+
+
+def _match(pieces: DataFrame, gaps: DataFrame, top: int) -> tuple[DataFrame, DataFrame, Rest]:
+    """One round over pieces (number, length) of at most ``top``: placed (number, length, sequence_id) and the rest."""
     spark = pieces.sparkSession
-    runs = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
-    counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    kind = "_length long, first_rank long, ranks long, first_sequence long, per long, at long"
-    flows = spark.createDataFrame(sweeps(counts, capacity), kind)
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.select(F.col("length").alias("_l"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    ranked = pieces.join(offsets, (F.col("length") == F.col("_l")) & (F.col("part") == F.col("_p")))
-    r = F.col("rank") + F.col("_before")
-    inside = (F.col("length") == F.col("_length")) & (r >= F.col("first_rank")) & (r < F.col("first_rank") + F.col("ranks"))
-    placed = ranked.join(F.broadcast(flows), inside)
-    turn = r - F.col("first_rank")
-    return placed.select(
-        *pieces.columns,
-        (F.col("first_sequence") + F.expr(f"(rank + _before - first_rank) div per")).alias("sequence_id"),
-        (F.col("at") + turn % F.col("per") * F.col("length")).alias("offset"),
+    # a gap below the class's largest size takes one piece, others as many as surely fit
+    places = F.greatest(F.expr(f"room div {top}"), F.lit(1)).cast("long")
+    line = gaps.select(F.col("room").alias("size"), places.alias("places"), F.col("sequence_id").alias("id"))
+    line = line.unionByName(pieces.select(F.col("length").alias("size"), F.lit(0).cast("long").alias("places"), F.col("number").alias("id")))
+    order = (F.desc("size"), F.expr("places = 0"), F.col("id"))
+    swept = cut(line.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT))
+    is_piece, is_gap = F.col("what") == PIECE_LEFT, F.col("what") == GAP_LEFT
+    size = F.when(is_piece, F.col("size"))
+    sums = swept.groupBy("part").agg(
+        F.count(size).alias("pieces"), F.sum(F.when(is_gap, F.col("places")).otherwise(0)).alias("places"),
+        F.min(size).alias("least"), F.max(size).alias("most"),
     )
+    left = sums.collect()  # one row per partition
+    met = carry_over([(r["part"], r["pieces"], r["places"]) for r in left])
+    number = Counter({r["part"]: r["pieces"] for r in left})
+    for part, _, n, _, _ in met:
+        number[part] -= n
+    # pieces go in descending order: the least of a partition is among those that stay
+    stay = [r for r in left if number[r["part"]]]
+    state = Rest(number.total(), min((r["least"] for r in stay), default=0), max((r["most"] for r in stay), default=0))
+    here = swept.filter(F.col("what") == PLACED).select(F.col("id").alias("number"), F.col("size").alias("length"), F.col("at").alias("sequence_id"))
+    rest = swept.filter(is_piece).select(F.col("id").alias("number"), F.col("size").alias("length"), "part", "at")
+    if not met:
+        return here, rest.select("number", "length"), state
+    table = spark.createDataFrame(met, "_part int, _first long, _n long, _other int, _top long")
+    inside = (F.col("part") == F.col("_part")) & (F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_n"))
+    rest = rest.join(F.broadcast(table), inside, "left")
+    taking = rest.filter("_other is not null").select("number", "length", F.col("_other").alias("other"), F.expr("_top - 1 - (at - _first)").alias("place"))
+    spans = table.select("_other", (F.col("_top") - F.col("_n")).alias("_from"), F.col("_top").alias("_to"))
+    meets = (F.col("part") == F.col("_other")) & (F.col("at") < F.col("_to")) & (F.col("at") + F.col("places") > F.col("_from"))
+    given = swept.filter(is_gap).join(F.broadcast(spans), meets)
+    taken = F.sequence(F.greatest("at", "_from"), F.least(F.col("at") + F.col("places"), F.col("_to")) - 1)
+    given = given.select(F.col("id").alias("sequence_id"), F.col("part").alias("other"), F.explode(taken).alias("place"))
+    carried = taking.join(given, ["other", "place"]).select("number", "length", "sequence_id")
+    return cut(here.unionByName(carried)), rest.filter("_other is null").select("number", "length"), state
+
+
+def _all(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for df in frames:
+        out = out.unionByName(df)
+    return out
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Rows (number, length, sequence_id) for pieces (number, length), by rounds of best fit.
+
+    Numbers must be unique, lengths from 1 to ``capacity``. No rows: no sequences. The
+    driver sees counts per length and per partition, never rows.
+    """
+    spark = pieces.sparkSession
+    pieces = pieces.select("number", F.col("length").cast("int").alias("length"))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    placed: list[DataFrame] = []
+    gaps, opened = spark.createDataFrame([], "sequence_id long, room int"), 0
+    largest = 0  # room of the largest gap
+    for top, low in classes(capacity):
+        lengths = [n for n in counts if low <= n <= top]
+        rest = pieces.filter(F.col("length").between(low, top))
+        state = Rest(sum(counts[n] for n in lengths), min(lengths, default=0), max(lengths, default=0))
+        while state.n:
+            if state.least > largest:
+                # as many new sequences as the rest needs in any case
+                new = -(-state.n // (capacity // state.least))
+                numbers = spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).alias("room"))
+                gaps, opened = gaps.unionByName(numbers), opened + new
+            new, rest, state = _match(rest, gaps.filter(F.col("room") >= state.least), state.most)
+            placed.append(new)
+            used = new.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("used"))
+            room = F.col("room") - F.coalesce("used", F.lit(0))
+            gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", room.alias("room"))
+            gaps = cut(gaps.filter(F.col("room") >= min(counts)))
+            largest = gaps.agg(F.max("room")).first()[0] or 0
+    return _all(placed, spark, "number long, length int, sequence_id long")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces that have ``number`` and ``length``.
+
+    A sequence has at most ``capacity`` pieces, so its running sum stays small.
+    """
+    found = place(pieces, capacity)
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "number").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
+    return pieces.join(found.select("number", "sequence_id", offset.alias("offset")), "number")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -265,25 +265,86 @@ def test_best_fit(docs, rows, encode):
     assert len(sequences) <= 1.02 * -(-sum(lengths) // 2048) + 1
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_sweeps_are_best_fit(seed):
+def plain_best_fit(lengths, capacity):
+    """Room left per sequence: the longest piece first, each to the sequence with the least room that fits."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(room, k) for k, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits)[1]] -= n
+        else:
+            rooms.append(capacity - n)
+    return rooms
+
+
+def some_lengths(seed, capacity):
     rnd = random.Random(seed)
-    lengths = [rnd.choice([rnd.randint(1, 64), rnd.randint(1, 12), 5]) for _ in range(rnd.randint(1, 900))]
-    counts = Counter(lengths)
-    flows = bestfit.sweeps(counts, 64)
-    fill, ranks = defaultdict(list), defaultdict(list)
-    for length, rank, n, first, per, at in flows:
-        for r in range(rank, rank + n):
-            ranks[length].append(r)
-            fill[first + (r - rank) // per].append((at + (r - rank) % per * length, length))
-    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+    kinds = [lambda: rnd.randint(1, capacity), lambda: rnd.randint(1, capacity // 5), lambda: capacity // 3 + 1]
+    return [rnd.choice(kinds)() for _ in range(rnd.randint(1, 600))]
+
+
+@pytest.mark.parametrize("capacity", [16, 60])
+def test_rounds_pack_as_tightly_as_best_fit(spark, capacity):
+    lengths = some_lengths(capacity, capacity)
+    pieces = spark.createDataFrame([(7 * i, n, "x") for i, n in enumerate(lengths)], "number long, length int, other string")
+    fill = defaultdict(list)
+    found = bestfit.pack_pieces(pieces.repartition(5), capacity).collect()
+    assert Counter((r.number, r.length) for r in found) == Counter((7 * i, n) for i, n in enumerate(lengths))
+    for r in found:
+        fill[r.sequence_id].append((r.offset, r.length))
     for parts in fill.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 64
-    assert len(fill) == len(token_output.pack(lengths, 64))
+        assert at <= capacity
+    assert len(fill) <= len(plain_best_fit(lengths, capacity))
+
+
+def test_rounds_do_not_depend_on_partitions(spark):
+    """The same sequences are filled alike whether stretches of the line are matched alone or carried over."""
+    lengths = [9] * 40 + [7] * 30 + [5] * 20 + [2] * 35
+    fills = set()
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            pieces = spark.createDataFrame(list(enumerate(lengths)), "number long, length int")
+            sums = bestfit.place(pieces, 16).groupBy("sequence_id").agg({"length": "sum"}).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        fills.add(tuple(sorted(r[1] for r in sums)))
+    assert fills == {tuple(sorted(16 - room for room in plain_best_fit(lengths, 16)))}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_carry_over_is_one_stack(seed):
+    rnd = random.Random(seed)
+    left = [(k, rnd.randint(0, 6), rnd.randint(0, 6)) for k in range(30)]
+    want, stack = {}, []
+    for part, pieces, places in left:
+        for k in range(pieces):
+            if stack:
+                want[part, k] = stack.pop()
+        stack += [(part, k) for k in range(places)]
+    met = bestfit.carry_over(left)
+    assert {(p, a + k): (o, top - 1 - k) for p, a, n, o, top in met for k in range(n)} == want
+    assert len(met) < 2 * len(left)
+
+
+@pytest.mark.parametrize("capacity", [1, 5, 64, 2048])
+def test_classes_cover_all_sizes(capacity):
+    sizes = [n for top, low in bestfit.classes(capacity) for n in range(top, low - 1, -1)]
+    assert sizes == list(range(capacity, 0, -1))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_matrices_pack_is_best_fit(seed):
+    lengths = some_lengths(seed, 64)
+    found = token_output.pack(lengths, 64)
+    assert sorted(i for members in found for i in members) == list(range(len(lengths)))
+    assert sorted(64 - sum(lengths[i] for i in members) for members in found) == sorted(plain_best_fit(lengths, 64))
 
 
 def test_token_matrices_round_trip(docs, rows, encode):
