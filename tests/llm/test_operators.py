@@ -440,6 +440,32 @@ def test_mixing(docs, rows):
     assert {tuple(r) for r in mixing.mix(docs).collect()} == {tuple(r) for r in mixed.collect()}
 
 
+def test_mixing_takes_each_leaf_by_its_order(docs, rows):
+    """Within a leaf's budget: whole epochs, then the documents of the next epoch in their seeded order."""
+    found = mixing.op3(docs).collect()
+    budget, epochs = Counter(), {}
+    for r in found:
+        budget[r.lang, r.source] += r.epochs * r.n_tokens + r.take_tokens
+        epochs[r.lang, r.source] = r.epochs
+    leaves = defaultdict(list)
+    for r in rows:
+        leaves[r.lang, r.source].append((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest(), len(split(r.text))))
+    want = Counter()
+    for leaf, members in leaves.items():
+        times = epochs.get(leaf, 0)
+        rest = budget[leaf] - times * sum(n for *_, n in members)
+        groups = defaultdict(list)  # repeated rows share a place in the order and what is left for them
+        for doc_id, digest, n in members:
+            key = f"{mixing.SEED}:{times}:{'' if doc_id is None else doc_id}:{digest}"
+            groups[hashlib.md5(key.encode()).hexdigest()].append((doc_id, n))
+        for _, same in sorted(groups.items()):
+            each = min(same[0][1], rest // len(same))
+            rest -= sum(n for _, n in same) if each == same[0][1] else rest
+            want.update((doc_id, leaf, n, times, each) for doc_id, n in same if times or each)
+    got = Counter((r.doc_id, (r.lang, r.source), r.n_tokens, r.epochs, r.take_tokens) for r in found if r.epochs or r.take_tokens)
+    assert got == want
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     m = np.concatenate([rnd.normal(size=(700, 8)), np.tile(rnd.normal(size=8), (60, 1))]).astype(np.float32)
