@@ -3,23 +3,27 @@
 Pieces and gaps (sequences with room left) are rows and stay rows. Sizes are taken class
 by class, the largest first. A round of a class is one sweep: gaps and unplaced pieces
 are range-sorted along the line of sizes, descending; every partition walks its stretch
-and gives each piece the nearest gap above it that is still free, its successor. Pieces
-compete for gaps by rank, that is by their place on the line. What a stretch could not
-match is carried over: pieces left over take the gaps that the stretches before them left,
-nearest first, by counts per partition. Then the gaps are updated, and the next round
-starts. When no gap takes even the least piece left of the class, as many new sequences
-open as those pieces need in any case.
-
-A gap much larger than the class offers several places at once, so that a class takes a
-few rounds only. Equal sizes are ordered by piece or sequence number too, so that a size
-which most rows share is spread over partitions. The state after a round is written to
-the checkpoint folder; a lost task repeats its own round only, with the same result.
+and gives each piece the nearest gap above it that still has room, its successor; what
+room a gap keeps goes back to the line at its new size. Pieces compete for gaps by rank,
+that is by their place on the line. What a stretch could not match is carried over:
+pieces left over take the gaps that the stretches before them left, nearest first, by
+counts per partition. Then the gaps are updated, and the next round starts. When no gap
+takes even the least piece left of the class, as many new sequences open as the count and
+the volume of those pieces need in any case.
+
+A gap much larger than the rest of the line offers several places at once when it is
+carried over, so that a class takes a few rounds only. Equal sizes are ordered by piece or
+sequence number too, so that a size which most rows share is spread over partitions. The
+state after a round is written to the checkpoint folder; a lost task repeats its own round
+only, with the same result.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
@@ -43,9 +47,16 @@ PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, numbe
 #: Numbers of pieces by task: task * PER_TASK + count.
 PER_TASK = 1 << 40
 
-#: What a row of a sweep's outcome is: a piece with its sequence, a piece or a gap left over.
-PLACED, PIECE_LEFT, GAP_LEFT = 0, 1, 2
+#: Rows of a round's small frames that one task reads.
+ROWS_PER_TASK = 200_000
+
+#: What a row of a sweep's outcome is: a piece with its sequence, a piece or a gap left over,
+#: the stretch's sums (pieces left in ``at``, the largest in ``id``, the least in ``size``).
+PLACED, PIECE_LEFT, GAP_LEFT, SUMS = 0, 1, 2, 3
 SWEPT = "what int, part int, id long, size int, at long, places long"
+#: Pieces and places that meet under one key; a piece that stays has a key of its own.
+MEETING = "part int, place long, number long, length int, sequence_id long"
+STAYS = -1
 
 
 def pieces_of(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -79,11 +90,12 @@ def _cut_up(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 
 
 class Rest(NamedTuple):
-    """Pieces still without a sequence: their number, least size and a bound of their largest size."""
+    """Pieces still without a sequence: number, least size, bounds of the largest size (above) and of all sizes' sum (below)."""
 
     n: int
     least: int
     most: int
+    volume: int
 
 
 def classes(capacity: int) -> list[tuple[int, int]]:
@@ -91,48 +103,65 @@ def classes(capacity: int) -> list[tuple[int, int]]:
     tops, share = [], 1
     while capacity // share:
         tops.append(capacity // share)
-        share = share + max(1, share // 3) if share < 32 else 2 * share
+        share = share + 1 if share < 4 else 2 * share
     tops = sorted(set(tops), reverse=True)
     return [(top, low + 1) for top, low in zip(tops, [*tops[1:], 0], strict=True)]
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One stretch of the line, rows (size, places, id): a piece has no places.
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    Free gaps stand on a stack, the smallest on top. A piece takes a place of the top one;
-    without any it is left over, numbered in ``at``. Gaps left over have in ``at`` the
-    number of places below them on the stack.
-    """
-    part = TaskContext.get().partitionId()
-    stack: list[list[int]] = []  # sequence, room, free places
-    left = 0
 
-    def out(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
-        what, ids, sizes, at, places = zip(*rows, strict=True) if rows else ((),) * 5
-        columns = [(what, pa.int32()), ([part] * len(rows), pa.int32()), (ids, pa.int64()), (sizes, pa.int32()), (at, pa.int64()), (places, pa.int64())]
-        return pa.record_batch([pa.array(c, t) for c, t in columns], names=["what", "part", "id", "size", "at", "places"])
+def _sweep(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """One stretch of the line, rows (size, is_gap, id), with pieces of at most ``most``.
 
+    Gaps that take the piece at hand stand on a stack, the smallest on top; gaps that have
+    become smaller wait until the line comes to their size. A piece goes to the top of the
+    stack; without any it is left over, numbered in ``at``. Gaps left on the stack have as
+    many ``places`` as pieces of the later stretches surely fit, and in ``at`` the places
+    below them; gaps still waiting have none.
+    """
+    part = TaskContext.get().partitionId()
+    stack: list[list[int]] = []  # sequence, room
+    waiting: list[tuple[int, int]] = []  # -room, sequence
+    left, largest, size = 0, 0, 0
+    seen = False
     for batch in batches:
         rows = []
-        for size, places, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if places:
-                stack.append([number, size, places])
+        for size, is_gap, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            seen = True
+            while waiting and -waiting[0][0] >= size:
+                room, sequence = heapq.heappop(waiting)
+                stack.append([sequence, -room])
+            if is_gap:
+                stack.append([number, size])
             elif stack:
-                rows.append((PLACED, number, size, stack[-1][0], 0))
-                stack[-1][2] -= 1
-                if not stack[-1][2]:
+                top = stack[-1]
+                rows.append((PLACED, part, number, size, top[0], 0))
+                top[1] -= size
+                if top[1] < size:
                     stack.pop()
+                    if top[1]:
+                        heapq.heappush(waiting, (-top[1], top[0]))
             else:
-                rows.append((PIECE_LEFT, number, size, left, 0))
-                left += 1
-        yield out(rows)
-    below = 0
+                rows.append((PIECE_LEFT, part, number, size, left, 0))
+                left, largest, least = left + 1, largest or size, size
+        yield _batch(rows, SWEPT)
+    if not seen:
+        return
+    fits, below = min(size, most), 0
     for first in range(0, len(stack), 10_000):
         rows = []
-        for number, size, places in stack[first : first + 10_000]:
-            rows.append((GAP_LEFT, number, size, below, places))
-            below += places
-        yield out(rows)
+        for sequence, room in stack[first : first + 10_000]:
+            rows.append((GAP_LEFT, part, sequence, room, below, room // fits))
+            below += room // fits
+        yield _batch(rows, SWEPT)
+    for first in range(0, len(waiting), 10_000):
+        yield _batch([(GAP_LEFT, part, sequence, -room, 0, 0) for room, sequence in waiting[first : first + 10_000]], SWEPT)
+    yield _batch([(SUMS, part, largest, least if left else 0, left, below)], SWEPT)
 
 
 def carry_over(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -156,44 +185,65 @@ def carry_over(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, in
     return met
 
 
-def _match(pieces: DataFrame, gaps: DataFrame, top: int) -> tuple[DataFrame, DataFrame, Rest]:
-    """One round over pieces (number, length) of at most ``top``: placed (number, length, sequence_id) and the rest."""
-    spark = pieces.sparkSession
-    # a gap below the class's largest size takes one piece, others as many as surely fit
-    places = F.greatest(F.expr(f"room div {top}"), F.lit(1)).cast("long")
-    line = gaps.select(F.col("room").alias("size"), places.alias("places"), F.col("sequence_id").alias("id"))
-    line = line.unionByName(pieces.select(F.col("length").alias("size"), F.lit(0).cast("long").alias("places"), F.col("number").alias("id")))
-    order = (F.desc("size"), F.expr("places = 0"), F.col("id"))
-    swept = cut(line.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT))
-    is_piece, is_gap = F.col("what") == PIECE_LEFT, F.col("what") == GAP_LEFT
-    size = F.when(is_piece, F.col("size"))
-    sums = swept.groupBy("part").agg(
-        F.count(size).alias("pieces"), F.sum(F.when(is_gap, F.col("places")).otherwise(0)).alias("places"),
-        F.min(size).alias("least"), F.max(size).alias("most"),
-    )
-    left = sums.collect()  # one row per partition
-    met = carry_over([(r["part"], r["pieces"], r["places"]) for r in left])
-    number = Counter({r["part"]: r["pieces"] for r in left})
+def _meet(batches: Iterator[pa.RecordBatch], met: list[tuple[int, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows left over by a sweep to MEETING: a piece and the place it takes get the same key."""
+    takes, gives = defaultdict(list), defaultdict(list)
+    for part, first, n, other, top in met:
+        takes[part].append((first, n, other, top))
+        gives[other].append((top - n, top))
+    for batch in batches:
+        rows = []
+        for what, part, number, size, at, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if what == GAP_LEFT:
+                for low, high in gives[part]:
+                    rows += [(part, place, None, None, number) for place in range(max(low, at), min(high, at + places))]
+                continue
+            k = bisect_right(takes[part], at, key=lambda x: x[0]) - 1
+            first, n, other, top = takes[part][k] if k >= 0 else (0, 0, 0, 0)
+            if at < first + n:
+                rows.append((other, top - 1 - (at - first), number, size, None))
+            else:
+                rows.append((STAYS, number, number, size, None))
+        yield _batch(rows, MEETING)
+
+
+class Round(NamedTuple):
+    """Outcome of a round: placed rows (number, length, sequence_id), pieces left, gaps, sums of the pieces left."""
+
+    placed: list[DataFrame]
+    rest: DataFrame
+    gaps: DataFrame
+    state: Rest
+
+
+def _match(pieces: DataFrame, gaps: DataFrame, state: Rest, tasks: int) -> Round:
+    """One round over pieces (number, length) and gaps (sequence_id, room) that take the least of them."""
+    line = gaps.select(F.col("room").alias("size"), F.lit(True).alias("is_gap"), F.col("sequence_id").alias("id"))
+    line = line.unionByName(pieces.select(F.col("length").alias("size"), F.lit(False).alias("is_gap"), F.col("number").alias("id")))
+    order = (F.desc("size"), F.desc("is_gap"), F.col("id"))
+    sweep = partial(_sweep, most=state.most)
+    swept = cut(line.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT)).coalesce(tasks)
+    sums = swept.filter(F.col("what") == SUMS).collect()  # one row per partition
+    met = carry_over([(r["part"], r["at"], r["places"]) for r in sums])
+    left = {r["part"]: r["at"] for r in sums}
     for part, _, n, _, _ in met:
-        number[part] -= n
+        left[part] -= n
     # pieces go in descending order: the least of a partition is among those that stay
-    stay = [r for r in left if number[r["part"]]]
-    state = Rest(number.total(), min((r["least"] for r in stay), default=0), max((r["most"] for r in stay), default=0))
-    here = swept.filter(F.col("what") == PLACED).select(F.col("id").alias("number"), F.col("size").alias("length"), F.col("at").alias("sequence_id"))
-    rest = swept.filter(is_piece).select(F.col("id").alias("number"), F.col("size").alias("length"), "part", "at")
+    stay = [(left[r["part"]], r["size"], r["id"]) for r in sums if left[r["part"]]]
+    n, volume = sum(x[0] for x in stay), sum(x[0] * x[1] for x in stay)
+    state = Rest(n, min((x[1] for x in stay), default=0), max((x[2] for x in stay), default=0), volume)
+    placed = [swept.filter(F.col("what") == PLACED).select(F.col("id").alias("number"), F.col("size").alias("length"), F.col("at").alias("sequence_id"))]
+    gaps = swept.filter(F.col("what") == GAP_LEFT).select(F.col("id").alias("sequence_id"), F.col("size").alias("room"))
     if not met:
-        return here, rest.select("number", "length"), state
-    table = spark.createDataFrame(met, "_part int, _first long, _n long, _other int, _top long")
-    inside = (F.col("part") == F.col("_part")) & (F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_n"))
-    rest = rest.join(F.broadcast(table), inside, "left")
-    taking = rest.filter("_other is not null").select("number", "length", F.col("_other").alias("other"), F.expr("_top - 1 - (at - _first)").alias("place"))
-    spans = table.select("_other", (F.col("_top") - F.col("_n")).alias("_from"), F.col("_top").alias("_to"))
-    meets = (F.col("part") == F.col("_other")) & (F.col("at") < F.col("_to")) & (F.col("at") + F.col("places") > F.col("_from"))
-    given = swept.filter(is_gap).join(F.broadcast(spans), meets)
-    taken = F.sequence(F.greatest("at", "_from"), F.least(F.col("at") + F.col("places"), F.col("_to")) - 1)
-    given = given.select(F.col("id").alias("sequence_id"), F.col("part").alias("other"), F.explode(taken).alias("place"))
-    carried = taking.join(given, ["other", "place"]).select("number", "length", "sequence_id")
-    return cut(here.unionByName(carried)), rest.filter("_other is null").select("number", "length"), state
+        rest = swept.filter(F.col("what") == PIECE_LEFT).select(F.col("id").alias("number"), F.col("size").alias("length"))
+        return Round(placed, rest, gaps, state)
+    over = swept.filter(F.col("what").isin(PIECE_LEFT, GAP_LEFT)).mapInArrow(partial(_meet, met=met), MEETING)
+    pairs = over.groupBy("part", "place").agg(*(F.max(c).alias(c) for c in ("number", "length", "sequence_id")))
+    pairs = cut(pairs.select("number", "length", "sequence_id").coalesce(tasks))
+    carried = pairs.filter("sequence_id is not null")
+    used = carried.select("sequence_id", (-F.col("length")).alias("room"))
+    gaps = gaps.unionByName(used).groupBy("sequence_id").agg(F.sum("room").cast("int").alias("room"))
+    return Round([*placed, carried], pairs.filter("sequence_id is null").select("number", "length"), gaps, state)
 
 
 def _all(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
@@ -212,27 +262,27 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     pieces = pieces.select("number", F.col("length").cast("int").alias("length"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    tasks = max(spark.sparkContext.defaultParallelism, sum(counts.values()) // ROWS_PER_TASK)
+    pieces = cut(pieces.coalesce(tasks))
     placed: list[DataFrame] = []
     gaps, opened = spark.createDataFrame([], "sequence_id long, room int"), 0
     largest = 0  # room of the largest gap
     for top, low in classes(capacity):
         lengths = [n for n in counts if low <= n <= top]
         rest = pieces.filter(F.col("length").between(low, top))
-        state = Rest(sum(counts[n] for n in lengths), min(lengths, default=0), max(lengths, default=0))
+        state = Rest(sum(counts[n] for n in lengths), min(lengths, default=0), max(lengths, default=0), sum(n * counts[n] for n in lengths))
         while state.n:
             if state.least > largest:
                 # as many new sequences as the rest needs in any case
-                new = -(-state.n // (capacity // state.least))
+                new = max(-(-state.n // (capacity // state.least)), -(-state.volume // capacity))
                 numbers = spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).alias("room"))
                 gaps, opened = gaps.unionByName(numbers), opened + new
-            new, rest, state = _match(rest, gaps.filter(F.col("room") >= state.least), state.most)
-            placed.append(new)
-            used = new.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("used"))
-            room = F.col("room") - F.coalesce("used", F.lit(0))
-            gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", room.alias("room"))
-            gaps = cut(gaps.filter(F.col("room") >= min(counts)))
+            small = gaps.filter(F.col("room") < state.least)
+            done, rest, gaps, state = _match(rest, gaps.filter(F.col("room") >= state.least), state, tasks)
+            placed += done
+            gaps = cut(gaps.unionByName(small).filter(F.col("room") >= min(counts)).coalesce(tasks))
             largest = gaps.agg(F.max("room")).first()[0] or 0
-    return _all(placed, spark, "number long, length int, sequence_id long")
+    return _all(placed, spark, "number long, length int, sequence_id long").coalesce(tasks)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
