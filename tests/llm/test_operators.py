@@ -85,6 +85,15 @@ def test_empty_table(op, empty):
     assert op(empty).collect() == []
 
 
+KEEPERS = [secrets.mask, sanitize.sanitise, simhash.keep_one, quality.filter_quality, mixing.mix]
+
+
+@pytest.mark.parametrize("op", KEEPERS, ids=lambda f: f.__name__)
+def test_empty_table_keeps_its_columns(op, empty):
+    out = op(empty)
+    assert out.collect() == [] and out.columns == empty.columns
+
+
 def test_secrets(docs, rows):
     def want(text):
         text, spans = text or "", []
@@ -318,6 +327,27 @@ def test_rounds_do_not_depend_on_partitions(spark):
     assert fills == {tuple(sorted(16 - room for room in plain_best_fit(lengths, 16)))}
 
 
+@pytest.mark.parametrize("parts", [1, 29])
+def test_rounds_fill_what_a_hot_size_leaves(spark, parts):
+    """A third of all pieces of one size; many stretches cost no more than 2 % of sequences."""
+    rnd = random.Random(parts)
+    lengths = [rnd.choice([700, rnd.randint(1, 2048), rnd.randint(1, 120)]) for _ in range(3000)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = bestfit.place(spark.createDataFrame(list(enumerate(lengths)), "number long, length int")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.number, r.length) for r in found) == list(enumerate(lengths))
+    fill = Counter()
+    for r in found:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+    assert len(fill) <= 1.02 * len(plain_best_fit(lengths, 2048))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_carry_over_is_one_stack(seed):
     rnd = random.Random(seed)
@@ -497,6 +527,36 @@ def test_chat(spark):
     assert chat.op1(df.limit(0)).collect() == []
 
 
+def test_pipeline_stages(spark, docs, tmp_path):
+    """Each stage works on all that its predecessor kept, and its decisions take effect."""
+    import corpus_pipeline
+
+    now, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, SF)
+        out.write.parquet(str(tmp_path / name))
+        kept[name] = spark.read.parquet(str(tmp_path / name))
+        if name != "best-fit packing":
+            assert kept[name].columns == docs.columns
+            now = kept[name]
+    good, single, masked, mixed, packed = kept.values()
+    accepted = quality.op5(docs).where("kept")
+    assert bag(good.collect(), "doc_id") == bag(accepted.collect(), "doc_id")
+    components = {r.component_id for r in simhash.op6(good).collect()}
+    assert single.count() == len(components)
+    assert bag(masked.collect(), "doc_id") == bag(single.collect(), "doc_id")
+    assert {r[0] for r in secrets.op2(masked).selectExpr("n_access + n_hex").collect()} == {0}
+    assert set(bag(mixed.collect(), "doc_id")) <= set(bag(masked.collect(), "doc_id"))
+    assert set(bag(packed.collect(), "doc_id")) == set(bag(mixed.collect(), "doc_id"))
+
+
+def test_pipeline_of_no_documents(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
