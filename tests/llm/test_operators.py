@@ -115,9 +115,37 @@ def test_secrets(docs, rows):
 
 def test_checksums():
     assert secrets.crc_token_holds(_crc_token()) and not secrets.crc_token_holds(_crc_token()[:-1] + "!")
-    # published examples: the first private key of the hierarchical wallets' test vectors, the age key of its manual
+    # published examples: the first private key of the hierarchical wallets' test vectors, valid strings of the bech32 proposal
     xprv = "xprv9s21ZrQH143K3QTDL4LXw2F7HEK3wJUD2nW2nRk4stbPy6cq3jPPqjiChkVvvNKmPGJxWUtg6LnF5kejMRNNU3TGtRBeJgk33yuGBxrMPHi"
     assert secrets.base58_holds(xprv) and not secrets.base58_holds(xprv[:-1] + "j")
+    for valid in ("A12UEL5L", "abcdef1qpzry9x8gf2tvdw0s3jn54khce6mua7lmqqqxw"):
+        assert secrets.bech32_holds(valid) and not secrets.bech32_holds(valid[:-1] + "q")
+
+
+def _age_key(rnd):
+    """A key whose last six letters are the remainder of the code's division, as the bech32 proposal writes it."""
+    letters, prefix = "qpzry9x8gf2tvdw0s3jn54khce6mua7l", "age-secret-key-"
+    data = [rnd.randrange(32) for _ in range(52)]
+    rest = 1
+    for v in [*(ord(c) >> 5 for c in prefix), 0, *(ord(c) & 31 for c in prefix), *data, *[0] * 6]:
+        top, rest = rest >> 25, (rest & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            rest ^= g * (top >> i & 1)
+    rest ^= 1
+    return (prefix + "1" + "".join(letters[v] for v in data) + "".join(letters[rest >> 5 * k & 31] for k in range(5, -1, -1))).upper()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_keys_with_checksums_are_found_where_they_stand(seed):
+    """Registry tokens and age keys count with a right checksum only, at their place in code points."""
+    age, npm = _age_key(random.Random(seed)), "npm_" + _crc_token()[4:]
+    text = f"\U0001f600é {age}, then <{npm}>"
+    at, then = text.index(age), text.index(npm)
+    found = [s for s in secrets.find_spans(text) if s[0] in ("npm", "age")]
+    assert sorted(found) == [("age", at, at + len(age)), ("npm", then, then + len(npm))]
+    for key in (age, npm):
+        wrong = key[:-1] + ("Q" if key[-1] != "Q" else "P")
+        assert not [s for s in secrets.find_spans(f"x {wrong} y") if s[0] in ("npm", "age")]
 
 
 def test_quality(docs, rows):
