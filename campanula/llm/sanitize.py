@@ -2,10 +2,11 @@
 
 Column expressions, joins and aggregations only. Each pattern's matches and the text
 between them give the places of all matches. Entities are the valid matches. For every
-entity and every term near it, corpus counts give the pointwise mutual information; as
-a share of the entity's own information it says how much of the entity the term gives
-away (1: whoever sees the term knows the entity). Terms at or above the threshold are
-spans too: generalised if they are names or numbers, else removed.
+entity and every term of the texts that hold it, wherever it stands, corpus counts of
+documents give the pointwise mutual information; as a share of the entity's own
+information it says how much of the entity the term gives away (1: whoever sees the term
+knows the entity). Terms at or above the threshold are spans too: generalised if they are
+names or numbers, else removed.
 """
 
 from __future__ import annotations
@@ -15,14 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campanula.llm.common import cut, let, text_or_empty, words
+from campanula.llm.common import cut, let, stored, text_or_empty, words
 
 #: Share of an entity's information that a term may give away, and in how many documents
 #: they have to meet before that counts as knowledge.
 DISCLOSED = 0.8
 LEAST_JOINT = 3
-#: Blank-separated fields on each side of an entity that count as near it.
-NEAR = 6
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "general", "removed")
@@ -112,33 +111,67 @@ def _term(word: Column) -> Column:
     return F.btrim(F.lower(word), F.lit(EDGES))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """Array of (entity, term, word, start, end) for the fields next to each span, but for other spans."""
+def _pieces(text: Column, spans: Column) -> Column:
+    """Array of (at, fields, first, stop): the text between spans in blank-separated fields.
 
-    def terms(flat: Column) -> Column:
-        def of(s: Column) -> Column:
-            left = F.substring_index(F.substr(flat, F.lit(1), s["start"]), " ", -NEAR)
-            right = F.substring_index(F.substr(flat, s["end"] + 1), " ", NEAR)
-            sides = F.array(F.struct(left.alias("c"), (s["start"] - F.length(left)).alias("at")), F.struct(right.alias("c"), s["end"].alias("at")))
+    Fields from ``first`` up to before ``stop`` touch no span; ``at`` is where field 0 starts.
+    """
+    none = F.array().cast("array<struct<at:int,fields:array<string>,first:int,stop:int>>")
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    ends = F.concat(by_start, F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end"))))
+
+    def of(flat: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            def row(fields: Column) -> Column:
+                stop = F.size(fields) - F.when(s["start"] == F.length(flat), 0).otherwise(1)
+                return F.struct(acc["at"].alias("at"), fields.alias("fields"), F.when(acc["at"] == 0, 0).otherwise(1).alias("first"), stop.alias("stop"))
+
+            piece = let(F.split(F.substr(flat, acc["at"] + 1, s["start"] - acc["at"]), " ", -1), row)
+            rows = F.when(s["start"] >= acc["at"], F.array_append(acc["rows"], piece)).otherwise(acc["rows"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), rows.alias("rows"))
+
+        return F.aggregate(ends, F.struct(F.lit(0).alias("at"), none.alias("rows")), step, lambda acc: acc["rows"])
+
+    return let(F.translate(text, "\t\n\x0b\f\r", " " * 5), of)
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    """Distinct terms of the whole text, but for words that touch a span."""
+    free = F.flatten(F.transform(_pieces(text, spans), lambda p: F.slice(p["fields"], p["first"] + 1, F.greatest(p["stop"] - p["first"], F.lit(0)))))
+    return F.array_remove(F.array_distinct(F.transform(free, _term)), F.lit(""))
 
-            def of_side(side: Column) -> Column:
-                def row(m: Column) -> Column:
-                    inner = F.btrim(m["m"], F.lit(EDGES))
-                    start = side["at"] + m["start"] + F.length(m["m"]) - F.length(F.ltrim(m["m"], F.lit(EDGES)))
-                    return F.struct(
-                        F.concat_ws(":", s["kind"], s["value"]).alias("entity"), _term(m["m"]).alias("term"),
-                        inner.alias("word"), start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"),
-                    )
 
-                return F.transform(_matches(side["c"], "[^ ]++"), row)
+def _places(text: Column, spans: Column, wanted: Column) -> Column:
+    """Array of spans for every place of the ``wanted`` terms, but for words that touch a span."""
+    none = F.array().cast(f"array<{SPAN}>")
+    named = r"^\p{Lu}|[0-9]"
+
+    def of_piece(p: Column, buckets: Column) -> Column:
+        def asked(i: Column) -> Column:
+            return let(_term(F.get(p["fields"], i)), lambda t: F.array_contains(F.get(buckets, F.pmod(F.xxhash64(t), F.size(buckets)).cast("int")), t))
+
+        def step(acc: Column, i: Column) -> Column:
+            word = F.get(p["fields"], i)
+            skipped = F.length(F.array_join(F.slice(p["fields"], acc["next"] + 1, i - acc["next"]), " ")) + F.when(i > acc["next"], 1).otherwise(0)
+
+            def row(at: Column) -> Column:
+                inner = F.btrim(word, F.lit(EDGES))
+                start = at + F.length(word) - F.length(F.ltrim(word, F.lit(EDGES)))
+                span = _span(F.when(inner.rlike(named), "general").otherwise("removed"), start, start + F.length(inner), _term(word))
+                return F.struct((at + F.length(word) + 1).alias("at"), (i + 1).alias("next"), F.array_append(acc["rows"], span).alias("rows"))
 
-            rows = F.flatten(F.transform(sides, of_side))
-            free = lambda r: ~F.exists(spans, lambda o: (o["start"] < r["end"]) & (o["end"] > r["start"]))
-            return F.filter(rows, lambda r: (r["term"] != "") & free(r))
+            return let(acc["at"] + skipped, row)
 
-        return F.flatten(F.transform(spans, of))
+        free = F.when(p["stop"] > p["first"], F.sequence(p["first"], p["stop"] - 1)).otherwise(F.array().cast("array<int>"))
+        start = F.struct(p["at"].alias("at"), F.lit(0).alias("next"), none.alias("rows"))
+        return F.aggregate(F.filter(free, asked), start, step, lambda acc: acc["rows"])
 
-    return let(F.translate(text, "\t\n\x0b\f\r", " " * 5), terms)
+    def dealt(n: Column) -> Column:
+        # a word is compared with the terms of its bucket alone
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(wanted, lambda t: F.pmod(F.xxhash64(t), n) == b))
+
+    buckets = let(F.greatest(F.ceil(F.sqrt(F.size(wanted))).cast("int"), F.lit(1)), dealt)
+    return let(buckets, lambda b: F.flatten(F.transform(_pieces(text, spans), lambda p: of_piece(p, b))))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosed: float = DISCLOSED, least_joint: int = LEAST_JOINT) -> DataFrame:
@@ -149,30 +182,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     """
     text = text_or_empty(text_col)
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    both = let(base_spans(F.col("text")), lambda s: F.struct(
-        s.alias("spans"),
-        F.when(F.size(s) > 0, _near(F.col("text"), s)).alias("near"),
-    ))
-    found = cut(docs.select("id", "digest", both.alias("f")).select("id", "digest", "f.spans", "f.near"))
-    near = found.select("id", "digest", F.explode("near").alias("n")).select("id", "digest", "n.*").distinct()
+    both = let(base_spans(F.col("text")), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, F.col("text")).alias("text")))
+    found = stored(docs.select("id", "digest", both.alias("f")).select("id", "digest", "f.*"))
     n_docs = found.select("id", "digest").distinct().agg(F.count("*").alias("n_docs"))
-    entities = found.select("id", "digest", F.explode("spans").alias("s"))
-    entities = entities.select("id", "digest", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    joint = near.select("id", "digest", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_joint"))
+    holders = found.select("id", "digest", F.explode("spans").alias("s"))
+    holders = cut(holders.select("id", "digest", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct())
+    entities = holders.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # a pair meets in no more documents than hold its entity
+    entities = cut(entities.filter(F.col("n_entity") >= least_joint).join(F.broadcast(n_docs)).filter("n_entity < n_docs"))
+    held = holders.join(entities.select("entity"), "entity").groupBy("id", "digest").agg(F.collect_set("entity").alias("entities"))
+    held = held.withColumnsRenamed({"id": "_id", "digest": "_digest"})
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    texts = found.filter("text IS NOT NULL").join(held, on).dropDuplicates(["id", "digest"])
+    held = stored(texts.select("id", "digest", "text", "spans", "entities", _terms(F.col("text"), F.col("spans")).alias("terms")))
+    pairs = held.select("id", "digest", F.explode("entities").alias("entity"), "terms").select("id", "digest", "entity", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_joint"))
     joint = cut(joint.filter(F.col("n_joint") >= least_joint))
     of_doc = F.array_distinct(F.transform(words(F.lower("text")), lambda w: F.xxhash64(F.btrim(w, F.lit(EDGES)))))
     # one row per word, counted in each task first, before it meets the terms
     counts = docs.select(F.explode(of_doc).alias("key")).groupBy("key").agg(F.count("*").alias("n_term"))
-    shares = joint.withColumn("key", F.xxhash64("term")).join(counts, "key").join(entities, "entity").join(F.broadcast(n_docs))
+    shares = joint.withColumn("key", F.xxhash64("term")).join(counts, "key").join(entities, "entity")
     information = F.log(F.col("n_docs") / F.col("n_entity"))
     mutual = F.log(F.col("n_docs") * F.col("n_joint") / (F.col("n_term").cast("double") * F.col("n_entity")))
-    telling = cut(shares.filter((F.col("n_entity") < F.col("n_docs")) & (mutual >= disclosed * information)).select("entity", "term"))
-    named = F.col("word").rlike(r"^\p{Lu}|[0-9]")
-    extra = near.join(telling, ["entity", "term"]).select("id", "digest", F.when(named, "general").otherwise("removed").alias("kind"), "start", "end", F.col("term").alias("value"))
-    extra = extra.groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end", "value"))).alias("extra"))
-    extra = cut(extra.withColumnsRenamed({"id": "_id", "digest": "_digest"}))
-    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    telling = cut(shares.filter(mutual >= disclosed * information).select("entity", "term"))
+    wanted = pairs.join(telling, ["entity", "term"]).groupBy("id", "digest").agg(F.collect_set("term").alias("wanted"))
+    wanted = cut(wanted.withColumnsRenamed({"id": "_id", "digest": "_digest"}))
+    extra = held.join(wanted, on).select("_id", "_digest", F.array_sort(_places(F.col("text"), F.col("spans"), F.col("wanted"))).alias("extra"))
+    extra = cut(extra)
     out = found.select("id", "digest", "spans").join(extra, on, "left")
     return out.select("id", "digest", F.concat("spans", F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 

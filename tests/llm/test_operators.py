@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from campanula.llm import bestfit, chat, mixing, quality, sanitize, secrets, simhash, substring, token_output, tokens, topk
 
@@ -464,6 +466,54 @@ def test_disclosing_terms(spark):
     assert {r.doc_id: r.text for r in sanitize.sanitise(docs).collect()}[1] == "the <general> and <email> of it"
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    far = [(i, f"Zorblax, {'x ' * 30}bob@ex.com\t{'y ' * 30}(zorblax)", None, None, 0, None, None) for i in range(6)]
+    other = [(100 + i, f"x and y or number {i}", None, None, 0, None, None) for i in range(60)]
+    found = {r.doc_id: r.spans for r in sanitize.op9(spark.createDataFrame(far + other, DOCS)).collect()}
+    assert found[0] == "email:69:79,general:0:7,removed:141:148" and found[100] == ""
+
+
+def test_disclosing_terms_of_whole_texts(spark):
+    rnd = random.Random(9)
+    secrets_ = [f"u{k}@ex.com" for k in range(5)] + ["10.0.0.1", "+1 (555) 010-9999"]
+    vocabulary = [f"w{chr(97 + k)}" for k in range(25)] + ["Zed", "Ünal", "(cue)", "cue,", '"', "x:10.0.0.1", "9th"]
+    texts = []
+    for _ in range(160):
+        own = rnd.sample(secrets_, rnd.choice([0, 0, 1, 2]))
+        near = [w for s in own for w in (f"t{secrets_.index(s)}", f"T{secrets_.index(s)}.") if rnd.random() < 0.8]
+        ws = rnd.choices(vocabulary, k=rnd.randint(0, 40)) + near * rnd.randint(1, 3) + own * rnd.randint(1, 2)
+        rnd.shuffle(ws)
+        texts.append("".join(w + rnd.choice([" ", " ", "  ", "\n", "\t"]) for w in ws))
+    texts += [" ".join([f"q{k}" for k in range(3000)] + ["u0@ex.com"] + ["t0", "wa"] * 2000), "", " ", "10.0.0.1"]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[5])]
+    base = spark.createDataFrame(rows, "id long, text string")
+    digest = {(r.id, r.d): r.text for r in base.select("id", "text", F.xxhash64("text").alias("d")).collect()}
+    got = {(r.id, digest[r.id, r.digest]): [tuple(s) for s in r.spans] for r in sanitize.find(base, "id").collect()}
+    edges, n = sanitize.EDGES, len(rows)
+    terms, entities, places = defaultdict(int), defaultdict(int), {}
+    joint = Counter()
+    for key in rows:
+        spans = [s for s in got[key] if s[0] in sanitize.BASE]
+        free = []
+        for m in re.finditer(r"[^ \t-\r]+", key[1]):
+            inner = m[0].strip(edges)
+            a = m.start() + len(m[0]) - len(m[0].lstrip(edges))
+            if inner and not any(s[1] < a + len(inner) and s[2] > a for s in spans):
+                free.append(("general" if inner[0].isupper() or re.search("[0-9]", inner) else "removed", a, a + len(inner), inner.lower()))
+        for t in {m.lower().strip(edges) for m in re.split(r"[ \t-\r]+", key[1])}:
+            terms[t] += 1
+        held = {f"{s[0]}:{s[3]}" for s in spans}
+        for e in held:
+            entities[e] += 1
+            joint.update((e, t) for t in {f[3] for f in free})
+        places[key] = spans, held, free
+    pmi = lambda e, t: math.log(n * joint[e, t] / (terms[t] * entities[e])) / math.log(n / entities[e])
+    telling = {(e, t) for (e, t), c in joint.items() if c >= sanitize.LEAST_JOINT and pmi(e, t) >= sanitize.DISCLOSED}
+    assert telling
+    for key, (spans, held, free) in places.items():
+        assert got[key] == spans + sorted(f for f in free if any((e, f[3]) in telling for e in held))
+
+
 def test_mixing(docs, rows):
     narrow, total = [], 0
     for r in rows:
