@@ -50,6 +50,7 @@ def split_join(
     how: str = "left",
     residual: Column | None = None,
     null_safe: bool = False,
+    unique: bool = False,
     weights: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     small_bytes: int = SMALL_BYTES,
@@ -68,7 +69,15 @@ def split_join(
     rows, since each stands for more than that part of the total.  Where the
     table the weights come from has at most ``small_bytes``, no key can be
     heavy and the plain join is planned.
+
+    ``unique`` says that ``right`` has a row per key, for left joins without
+    ``residual``.  The rows of ``right`` with heavy keys are then sent along
+    with the list, and only the other keys are met by shuffle; as that side
+    waits for no weights, adaptive execution knows its size before the rows
+    of ``left`` move, and moves none where it is small.
     """
+    if unique and (how != "left" or residual is not None):
+        raise ValueError("unique is for left joins without a residual")
     names = list(on)
     if weights is None:
         weights = key_weights(left, names, nulls=null_safe)
@@ -86,7 +95,10 @@ def split_join(
         return left.join(side, meet, how).select(*left.columns, *columns)
 
     unit = F.greatest(weights.select(F.sum("_rows")).scalar() / SHARE, F.lit(hot_rows))
-    heavy = weights.where(F.col("_rows") > unit).withColumn("_places", F.ceil(F.col("_rows") / unit).cast("int")).drop("_rows")
+    heavy = weights.where(F.col("_rows") > unit)
+    if unique:
+        return _met_once(left, side, names, list(columns), heavy.drop("_rows"), meet, null_safe)
+    heavy = heavy.withColumn("_places", F.ceil(F.col("_rows") / unit).cast("int")).drop("_rows")
 
     def matches(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
         return reduce(lambda a, b: a & b, [same(df[k], other[f"_key{i}"]) for i, k in enumerate(keys)])
@@ -106,6 +118,32 @@ def split_join(
     return joined.select(*left.columns, *columns)
 
 
+def _met_once(
+    left: DataFrame, side: DataFrame, names: Sequence[str], columns: Sequence[str], heavy: DataFrame, meet: Column, null_safe: bool
+) -> DataFrame:
+    """Rows of heavy keys meet ``side`` by broadcast, others by shuffle; the former and those without key lie anywhere."""
+    def same(a: Column, b: Column) -> Column:
+        return a.eqNullSafe(b) if null_safe else a == b
+
+    keys = [f"_key{i}" for i in range(len(names))]
+    found = reduce(lambda a, b: a & b, [same(heavy[k], side[f"_right{i}"]) for i, k in enumerate(keys)])
+    values = [side[c].alias(f"_hot{i}") for i, c in enumerate(columns)]
+    hot = heavy.join(side, found, "left").select(*[heavy[k] for k in keys], *values, F.lit(True).alias("_hot"))
+    known = reduce(lambda a, b: a & b, [same(left[n], hot[k]) for n, k in zip(names, keys, strict=True)])
+    apart = reduce(lambda a, b: a | b, [left[n].isNull() for n in names])
+    draw = F.pmod(F.xxhash64(*[left[c] for c in _drawn(left, names)]), F.lit(SHARE)) + 1
+    # heavy keys have met already, and NULL meets nobody
+    salt = F.when(hot["_hot"] if null_safe else hot["_hot"] | apart, draw).otherwise(0)
+    spread = left.join(F.broadcast(hot), known, "left").select(
+        *[left[c] for c in left.columns], hot["_hot"], *[hot[f"_hot{i}"] for i in range(len(columns))], salt.cast("int").alias("_salt")
+    )
+    # 0 for all, but not a literal: the place has to stay a key of the join
+    side = side.withColumn("_right_salt", F.pmod(F.hash("_right0"), F.lit(1)))
+    joined = spread.join(side, meet & (F.col("_salt") == F.col("_right_salt")), "left")
+    picked = [F.when(F.col("_hot"), F.col(f"_hot{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)]
+    return joined.select(*left.columns, *picked)
+
+
 def role_join(
     df: DataFrame,
     dim: DataFrame,
@@ -119,15 +157,25 @@ def role_join(
     ``roles`` maps a column prefix to the key column of ``df``; the columns of
     the dimension arrive as ``<prefix>_<column>``.  ``weights`` may hold the
     weights of some roles; the others are counted in ``df`` as it is given,
-    one column each.  ``sizes`` are those of :func:`split_join`.
+    together.  ``dim`` has one row per key.  ``sizes`` are those of :func:`split_join`.
     """
-    weighed = {prefix: key_weights(df, [key]) for prefix, key in roles.items()} | dict(weights or {})
+    counted = {prefix: key for prefix, key in roles.items() if prefix not in (weights or {})}
+    weighed = _role_weights(df, counted) | dict(weights or {})
     for prefix, key in roles.items():
         columns = {f"{prefix}_{c}": c for c in dim.columns if c != dim_key}
-        df = split_join(df, dim, {key: dim_key}, columns, weights=weighed[prefix], **sizes)
+        df = split_join(df, dim, {key: dim_key}, columns, unique=True, weights=weighed[prefix], **sizes)
     return df
 
 
+def _role_weights(df: DataFrame, roles: Mapping[str, str]) -> dict[str, DataFrame]:
+    """:func:`key_weights` of every role, whose key columns come from one reading of ``df``."""
+    if len({df.schema[key].dataType for key in roles.values()}) != 1:
+        return {prefix: key_weights(df, [key]) for prefix, key in roles.items()}
+    pairs = F.array(*[F.struct(F.lit(prefix).alias("_role"), F.col(key).alias("_key")) for prefix, key in roles.items()])
+    rows = key_weights(df.select(F.explode(pairs).alias("_p")).select("_p.*").where("_key IS NOT NULL"), ["_role", "_key"])
+    return {prefix: rows.where(F.col("_key0") == prefix).select(F.col("_key1").alias("_key0"), "_rows") for prefix in roles}
+
+
 def key_set(df: DataFrame, on: str | list[str]) -> DataFrame:
     """Distinct keys.  Repeats go before the shuffle the join needs anyway."""
     return df.select(*([on] if isinstance(on, str) else on)).distinct()
@@ -157,7 +205,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, *, weight: str | None = None
     """
     known = None if weight is None else dim.select(F.col(key).alias("_key0"), F.col(weight).alias("_rows"))
     columns = {c: c for c in dim.columns if c != key}
-    return split_join(df, dim, {key: key}, columns, null_safe=True, weights=known, **sizes)
+    return split_join(df, dim, {key: key}, columns, null_safe=True, unique=True, weights=known, **sizes)
 
 
 def interval_join(

@@ -60,6 +60,21 @@ def test_no_task_takes_all_rows_of_a_code_or_of_none(plain):
     assert sorted(map(str, light.collect())) == sorted(map(str, rows))
 
 
+def test_the_dimension_waits_for_no_weights(plain):
+    df = codes(plain).select("id", "code", F.when(F.col("id") % 2 == 0, F.col("code")).alias("other"))
+    dim = df.select("code").distinct().where("code > 'c5' AND code <> 'c7'").select(F.col("code").alias("key"), F.length("code").alias("price"))
+    for keys in (dim, dim.where("key <> 'hot'")):  # also without a row for the heaviest code
+        joined = joining.role_join(df, keys, "key", {"old": "code", "new": "other"}, hot_rows=100, small_bytes=0)
+        assert "sequence(" not in joined._jdf.queryExecution().optimizedPlan().toString()  # no copies per place
+        assert most_in_a_task(joined) < 6000 / 5
+        known = {r.key: r.price for r in keys.collect()}
+        rows = joined.collect()
+        assert len(rows) == 6000 and all(r.old_price == known.get(r.code) and r.new_price == known.get(r.other) for r in rows)
+    null = plain.createDataFrame([(None, 1), ("hot", 2), ("c2", 3)], "code string, v int")
+    found = joining.lookup(codes(plain), null, "code", hot_rows=100, small_bytes=0)
+    assert {(r.code, r.v) for r in found.where("v IS NOT NULL").collect()} == {(None, 1), ("hot", 2), ("c2", 3)} and found.count() == 6000
+
+
 def test_prices_of_few_codes_are_split(plain):
     df = codes(plain).select("id", F.col("code").alias("a"), F.col("code").alias("b"), F.lit(1).alias("old_dvr"), F.lit(0).alias("new_dvr"))
     prices = plain.createDataFrame([("hot", 10.0), ("c2", 20.0)], "package_code string, price double")
