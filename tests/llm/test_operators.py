@@ -239,6 +239,30 @@ def test_links_with_dense_families(spark, radius):
         assert sorted(sorted(g) for g in found.values()) == want
 
 
+def test_rounds_write_few_files(spark):
+    from pathlib import Path
+
+    from campanula.llm import graph
+    from campanula.llm.common import shared_folder
+
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = len(list(folder.rglob("part-*")))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(40).selectExpr("id * 2 u", "id * 2 + 2 v")
+        found = {r.node: r.root for r in graph.components(edges).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(range(0, 82, 2), 0)
+    files = len(list(folder.rglob("part-*"))) - before
+    cores = spark.sparkContext.defaultParallelism
+    assert files <= 64 + 10 * 4 * cores
+
+
 def test_substring(docs, rows):
     _compare_substring(docs, rows, 200)
 
